@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, mixing, splitting, tokens
+from lectern.llm import boilerplate, mixing, neardup, splitting, tokens
 from lectern.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,20 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_all(*_p4_tables(spark, folder))
 
 
+def _p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "exam_questions").select(F.lit("exam_questions").alias("item_table"), F.col("question_id").alias("id"), F.col("prompt_text").alias("text"))
+    return asked.unionByName(table(spark, folder, "chunks").select(F.lit("chunks").alias("item_table"), F.col("chunk_id").alias("id"), "text"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.pairs(*neardup.links(_p5_records(spark, folder)))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    membership, linked = neardup.links(_p5_records(spark, folder))
+    return neardup.groups(membership, cut_lineage(linked))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
@@ -52,7 +67,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"
