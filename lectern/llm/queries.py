@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, mixing, neardup, splitting, tokens
+from lectern.llm import boilerplate, mixing, neardup, neighbours, splitting, tokens
 from lectern.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, folder, "chunks"), table(spark, folder, "documents"))
 
 
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.most_similar(table(spark, folder, "chunk_embeddings"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.pairs(p2_neighbours(spark, folder))
+
+
 def _p4_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, t) for t in ("chunk_parents", "chunks", "documents", "chunk_limits")]
 
@@ -67,7 +75,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"
