@@ -1,12 +1,12 @@
 """Problem 5: records that are nearly the same, by HyperMinHash.
 
-A record is the set of its shingles (runs of consecutive words). Records with equal sets form one
-class and only one of them is sketched. A sketch has a register per hash function: the count of leading
+A record is the set of its shingles (runs of consecutive words). Records with the same words in order
+form one class and only one of them is sketched. A sketch has a register per hash function: the count of leading
 zeros of the smallest hash and the mantissa bits after them. (The registers have hash functions of their
 own instead of sharing one by buckets, as most records here have fewer shingles than a sketch has
 registers and would leave most buckets empty.) Registers are put together in bands; classes that agree
-in a band are candidates. The lowest mantissa bits of all registers travel with the band as packed bits
-and give the Jaccard estimate, corrected for the bits that agree by chance; pairs whose estimate stays
+in a band are candidates. The two lowest mantissa bits of all registers are kept as packed bits and
+give the Jaccard estimate, corrected for the bits that agree by chance; pairs whose estimate stays
 under the threshold by more than four standard deviations are dropped, all others are verified on their
 words.
 """
@@ -14,60 +14,58 @@ words.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 4
-BANDS = 48
+from lectern.operators.components import components
+
+ROWS = 3
+BANDS = 28
 MANTISSA = 12
-#: Distinct words that a worker remembers the hashes of; beyond it the memory is emptied.
+#: Distinct words and classes that a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 500_000
-_WORDS: dict[str, int] = {}
-_pattern = None
+#: Shingles that are hashed together, so that they stay in the processor's cache.
+_TOGETHER = 16_384
+#: Candidate pairs up to which the classes to verify are broadcast (16 bytes each) instead of shuffled.
+BROADCAST_PAIRS = 500_000
+_EVEN = 0x5555555555555555
+_NOT_ASCII = None
+
+
+class _WordCodes(dict):
+    """A word's 64-bit hash, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word)
+        return code
+
+
+_codes = _WordCodes()
+_ascii = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str | None) -> list[str]:
     """Longest runs of Unicode letters and digits, lower-cased."""
-    global _pattern
-    if _pattern is None:
-        import regex
-
-        _pattern = regex.compile(r"[\p{L}\p{N}]+")
+    global _NOT_ASCII
     if not text:
         return []
-    found = _pattern.findall(text)
-    return text_lower(found)
-
-
-def text_lower(found: list[str]) -> list[str]:
-    return " ".join(found).lower().split(" ") if found else []
-
-
-def shingle_hashes(text: str | None, size: int, least: int) -> np.ndarray | None:
-    """The distinct 64-bit hashes of the shingles, sorted; None for fewer than ``least`` words."""
-    import xxhash
-
-    tokens = words(text)
-    if len(tokens) < max(least, size):
-        return None
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    codes = np.empty(len(tokens), dtype=np.uint64)
-    for i, token in enumerate(tokens):
-        code = _WORDS.get(token)
-        if code is None:
-            code = _WORDS[token] = xxhash.xxh64_intdigest(token)
-        codes[i] = code
-    n = len(tokens) - size + 1
-    mixed = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
-        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(_stir(mixed))
+    if text.isascii():
+        return _ascii.findall(text.lower())
+    if _NOT_ASCII is None:
+        import regex
+
+        _NOT_ASCII = regex.compile(r"[\p{L}\p{N}]+")
+    return [word.lower() for word in _NOT_ASCII.findall(text)]
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -76,17 +74,35 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts): of the shingles of records whose word codes lie one after another in ``codes``."""
+    mixed = np.zeros(len(codes) - size + 1, dtype=np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ codes[k : len(codes) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    counts = lengths - size + 1
+    inside = np.ones(len(mixed), dtype=bool)
+    for k in range(1, size):  # the shingles that reach into the next record
+        ends = (starts + lengths - k)[:-1]
+        inside[ends[ends < len(mixed)]] = False
+    return _stir(mixed[inside]), np.concatenate(([0], np.cumsum(counts)[:-1]))
+
+
 def registers(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """[records, count] uint32: leading zeros of the smallest hash, then MANTISSA bits."""
     draws = np.random.default_rng(20240601)
     factors = draws.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
     shifts = draws.integers(0, 2**63, count, dtype=np.uint64)
     smallest = np.empty((count, len(starts)), dtype=np.uint64)
+    room = np.empty_like(hashes)
     for j in range(count):
-        smallest[j] = np.minimum.reduceat((hashes ^ shifts[j]) * factors[j], starts)
+        np.bitwise_xor(hashes, shifts[j], out=room)
+        np.multiply(room, factors[j], out=room)
+        np.minimum.reduceat(room, starts, out=smallest[j])
     # the exponent of the double tells the leading zeros, its fraction the bits after the first one
     bits = (smallest >> np.uint64(11)).astype(np.float64).view(np.uint64)
-    zeros = np.uint64(1023 + 52) - np.minimum(bits >> np.uint64(52), np.uint64(1023 + 52))
+    top = np.uint64(1023 + 52)
+    zeros = top - np.minimum(bits >> np.uint64(52), top)
     mantissa = (bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)
     return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint32).T
 
@@ -100,117 +116,140 @@ def band_keys(registered: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def agreement_floor(threshold: float, bits: int, deviations: float = 4.0) -> int:
-    """The most bits of the packed sketches that may differ for a pair to stay a candidate.
+def packed_bits(registered: np.ndarray) -> np.ndarray:
+    """[records, longs] int64: the two lowest mantissa bits of each register, 32 registers a long."""
+    longs = -(-registered.shape[1] // 32)
+    low = np.zeros((len(registered), longs * 32), dtype=np.uint64)
+    low[:, : registered.shape[1]] = registered & 3
+    places = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    return np.bitwise_or.reduce(low.reshape(len(registered), longs, 32) << places, axis=2).view(np.int64)
+
+
+def most_different(threshold: float, count: int, deviations: float = 4.0) -> int:
+    """How many of the registers' two bits may differ for a pair to stay a candidate.
 
-    A bit agrees with probability J + (1 - J) / 2; the floor lies so many deviations under the threshold's.
+    Two bits agree with probability J, or by chance with a quarter of the rest; the corrected estimate
+    J = (agreeing / count - 1/4) / (3/4) may lie so many standard deviations under the threshold.
     """
-    p = threshold + (1 - threshold) / 2
-    return math.floor(bits * (1 - p) + deviations * math.sqrt(bits * p * (1 - p)))
+    p = threshold + (1 - threshold) / 4
+    return math.floor(count * (1 - p) + deviations * math.sqrt(count * p * (1 - p)))
 
 
-def _sketch_rows(records: DataFrame, size: int, least: int, bands: int, rows: int, sketched: bool) -> DataFrame:
-    """(item_table, id, class, keys, s0..s2) of the records with enough words.
+def sketches(records: DataFrame, size: int = 3, least: int = 15, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(item_table, id, class, keys array<bigint>, bits array<bigint>) of the records with enough words.
 
-    keys and bits come with the first row of a class in a task only, the pre-aggregation that keeps a
-    group of equal records from filling its bands again and again; null on the others.
+    A class is a hash of the table and the words in order, so equal texts share one. keys and bits come
+    with the first record of a class in a task and are null on the others: this pre-aggregation keeps
+    a large group of equal records from filling its bands again and again.
     """
     count = bands * rows
-    longs = count // 64
-    source = records.select("item_table", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    names = [f"s{i}" for i in range(longs)] if sketched else []
-    schema = "item_table string, id string, class long" + (", keys array<long>" + "".join(f", {n} long" for n in names) if sketched else "")
+    source = records.select("item_table", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("item_table").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int]] = set()
+        import xxhash
+
+        seen: set[int] = set()
         for batch in batches:
-            tables, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            sets, kept = [], []
-            for i, text in enumerate(texts):
-                hashes = shingle_hashes(text, size, least)
-                if hashes is not None:
-                    sets.append(hashes)
-                    kept.append(i)
-            if not kept:
-                continue
-            classes = _classes(sets)
-            columns = [pa.array([tables[i] for i in kept]), pa.array([ids[i] for i in kept]), pa.array(classes)]
-            if sketched:
+            for part in range(0, batch.num_rows, 2048):
+                tables, ids, texts = (batch.column(i).slice(part, 2048).to_pylist() for i in range(3))
+                found = [(t, i, w) for t, i, text in zip(tables, ids, texts) if len(w := words(text)) >= max(least, size)]
+                if not found:
+                    continue
+                coded = [np.fromiter(map(_codes.__getitem__, w), np.uint64, len(w)) for _, _, w in found]
+                classes = [xxhash.xxh64_intdigest(c.tobytes(), seed=xxhash.xxh32_intdigest(t)) for (t, _, _), c in zip(found, coded)]
+                new = []
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                new = []
-                for j, i in enumerate(kept):
-                    key = (tables[i], int(classes[j]))
-                    if key not in seen:
-                        seen.add(key)
+                for j, own in enumerate(classes):
+                    if own not in seen:
+                        seen.add(own)
                         new.append(j)
-                at = np.full(len(kept), -1)
-                at[new] = np.arange(len(new))
-                if new:
-                    starts = np.cumsum([0] + [len(sets[j]) for j in new[:-1]])
-                    own = registers(np.concatenate([sets[j] for j in new]), starts, count)
-                    packed = np.packbits((own & 1).astype(np.uint8), axis=1)[:, : longs * 8].copy().view(np.int64)
-                    banded = band_keys(own, bands, rows)
-                    lists: list = [banded[k].tolist() if k >= 0 else None for k in at]
-                else:
-                    packed, lists = np.zeros((1, longs), np.int64), [None] * len(kept)
-                columns.append(pa.array(lists, pa.list_(pa.int64())))
-                columns += [pa.array(packed[np.maximum(at, 0), k], mask=at < 0) for k in range(longs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["item_table", "id", "class", *(["keys", *names] if sketched else [])])
-
-    return source.mapInArrow(run, schema)
-
-
-def _classes(sets: list[np.ndarray]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-
-
-def members(records: DataFrame, size: int = 3, least: int = 15) -> DataFrame:
-    """(item_table, id, class) of every record with enough words, each id once; equal sets share a class."""
-    return _sketch_rows(records, size, least, BANDS, ROWS, sketched=False).distinct()
-
-
-def candidate_links(records: DataFrame, threshold: float, size: int = 3, least: int = 15, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(item_table, class_a, class_b) of the pairs of classes that share a band and whose estimate may
-    reach the threshold, each pair once, class_a below class_b.
-
-    The pairs of a band meet in a join on its key, which Spark splits where a key is hot.
+                keys: list = [None] * len(found)
+                bits: list = [None] * len(found)
+                for some in _runs(new, coded):
+                    lengths = np.array([len(coded[j]) for j in some])
+                    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                    own = registers(*shingle_hashes(np.concatenate([coded[j] for j in some]), starts, lengths, size), count)
+                    for j, k, b in zip(some, band_keys(own, bands, rows), packed_bits(own)):
+                        keys[j], bits[j] = k, b
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([t for t, _, _ in found]),
+                        pa.array([i for _, i, _ in found]),
+                        pa.array(np.array(classes, dtype=np.uint64).view(np.int64)),
+                        pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(bits, pa.list_(pa.int64())),
+                    ],
+                    names=["item_table", "id", "class", "keys", "bits"],
+                )
+
+    return source.mapInArrow(run, "item_table string, id string, class long, keys array<long>, bits array<long>")
+
+
+def _runs(chosen: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
+    """``chosen`` in runs of about _TOGETHER words."""
+    some, size = [], 0
+    for j in chosen:
+        some.append(j)
+        size += len(coded[j])
+        if size >= _TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def candidate_links(sketched: DataFrame, threshold: float) -> DataFrame:
+    """(class_a, class_b) of the pairs of classes that share a band and whose estimate may reach the
+    threshold, each pair once, class_a below class_b.
+
+    A band's key and class are shuffled first; only keys under which different classes met go on to get
+    their bits and be paired, in a join on the key that Spark splits where a key is hot.
     """
-    sketches = _sketch_rows(records, size, least, bands, rows, sketched=True).where(F.col("keys").isNotNull())
-    bits = [c for c in sketches.columns if c[0] == "s"]
-    banded = sketches.select("item_table", "class", *bits, F.explode("keys").alias("key")).repartition("key").dropDuplicates(["key", "item_table", "class"])
-    other = banded.select(F.col("key"), F.col("item_table"), F.col("class").alias("class_b"), *(F.col(b).alias(f"{b}_b") for b in bits))
-    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_b"))) for b in bits), F.lit(0))
-    most = agreement_floor(threshold, 64 * len(bits))
-    pairs = banded.join(other, ["key", "item_table"]).where((F.col("class") < F.col("class_b")) & (differ <= most))
-    return pairs.select("item_table", F.col("class").alias("class_a"), "class_b").distinct()
-
-
-def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int = 15, **banding) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): every record's class, and (item_table, class_a, class_b, similarity) of every
-    pair of different classes whose Jaccard similarity, taken over the shingles themselves, reaches the
-    threshold.
+    banded = sketched.where(F.col("keys").isNotNull()).select("class", F.explode("keys").alias("key"))
+    met = Window.partitionBy("key")
+    shared = banded.withColumns({"low": F.min("class").over(met), "high": F.max("class").over(met)}).where(F.col("low") < F.col("high"))
+    bits = sketched.where(F.col("bits").isNotNull()).groupBy("class").agg(F.min("bits").alias("bits"))
+    ready = shared.select("key", "class").distinct().join(bits, "class").persist(StorageLevel.MEMORY_AND_DISK)
+    other = ready.select("key", F.col("class").alias("class_b"), F.col("bits").alias("bits_b"))
+    longs = -(-BANDS * ROWS // 32)
+    differ = F.lit(0)
+    for k in range(longs):
+        x = F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])
+        differ = differ + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(_EVEN)))
+    paired = ready.join(other, "key").where((F.col("class") < F.col("class_b")) & (differ <= most_different(threshold, BANDS * ROWS)))
+    return paired.select(F.col("class").alias("class_a"), "class_b").distinct()
+
+
+def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int = 15) -> tuple[DataFrame, DataFrame]:
+    """(membership, links): (item_table, id, class) of every record, and (class_a, class_b, similarity)
+    of every pair of different classes whose Jaccard similarity, taken over the shingles themselves,
+    reaches the threshold.
 
     ``records`` has (item_table, id, text). Null ids and texts, and texts of fewer than ``least`` words,
     take no part; a repeated id counts once by the texts it has. Records of different tables don't meet.
+    At similarity 0.6 a pair is missed with probability 0.001, at 0.65 with 0.0001. What is read twice
+    is persisted; it is recomputed should an executor be lost.
     """
-    membership = members(records, size, least)
-    candidates = candidate_links(records, threshold, size, least, **banding)
-    first = membership.groupBy("item_table", "class").agg(F.min("id").alias("id"))
+    sketched = sketches(records, size, least).persist(StorageLevel.MEMORY_AND_DISK)
+    membership = sketched.select("item_table", "id", "class").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    candidates = candidate_links(sketched, threshold).persist(StorageLevel.MEMORY_AND_DISK)
+    few = candidates.count() <= BROADCAST_PAIRS
+    asked = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    first = membership.join(F.broadcast(asked) if few else asked, "class", "left_semi").groupBy("class").agg(F.min(F.struct("item_table", "id")).alias("at"))
+    first = first.select("class", "at.item_table", "at.id")
     texts = records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("item_table", "id", "text")
-    bodies = texts.join(first, ["item_table", "id"]).dropDuplicates(["item_table", "class"]).select("item_table", "class", "text")
-    left = candidates.join(bodies.withColumnsRenamed({"class": "class_a", "text": "text_a"}), ["item_table", "class_a"])
-    both = left.join(bodies.withColumnsRenamed({"class": "class_b", "text": "text_b"}), ["item_table", "class_b"])
+    bodies = texts.join(F.broadcast(first) if few else first, ["item_table", "id"]).groupBy("class").agg(F.min("text").alias("text"))
+    left = candidates.join(bodies.withColumnsRenamed({"class": "class_a", "text": "text_a"}), "class_a")
+    both = left.join(bodies.withColumnsRenamed({"class": "class_b", "text": "text_b"}), "class_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, a, b, text_a, text_b = (batch.column(i) for i in range(5))
+            a, b, text_a, text_b = (batch.column(i) for i in range(4))
             similar = [jaccard(x, y, size) for x, y in zip(text_a.to_pylist(), text_b.to_pylist())]
-            yield pa.RecordBatch.from_arrays([table, a, b, pa.array(similar, pa.float64())], names=["item_table", "class_a", "class_b", "similarity"])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(similar, pa.float64())], names=["class_a", "class_b", "similarity"])
 
-    checked = both.select("item_table", "class_a", "class_b", "text_a", "text_b").mapInArrow(run, "item_table string, class_a long, class_b long, similarity double")
+    checked = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(run, "class_a long, class_b long, similarity double")
     return membership, checked.where(F.col("similarity") >= threshold)
 
 
@@ -228,34 +267,23 @@ def pairs(membership: DataFrame, linked: DataFrame) -> DataFrame:
     """(item_table, id_a, id_b): every pair of records within a class and across linked classes, the
     smaller id first. It is as large as its result; ``groups`` states the same without spelling it out.
     """
-    m = membership
-    a, b = m.select("item_table", "class", F.col("id").alias("id_a")), m.select("item_table", "class", F.col("id").alias("id_b"))
-    within = a.join(b, ["item_table", "class"]).where(F.col("id_a") < F.col("id_b")).select("item_table", "id_a", "id_b")
-    across = linked.join(a.withColumnRenamed("class", "class_a"), ["item_table", "class_a"]).join(b.withColumnRenamed("class", "class_b"), ["item_table", "class_b"])
-    across = across.where(F.col("id_a") != F.col("id_b"))
-    return within.unionByName(across.select("item_table", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+    a, b = membership.withColumnRenamed("id", "id_a"), membership.select("class", F.col("id").alias("id_b"))
+    same = linked.select("class_a", "class_b").unionByName(membership.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b")))
+    met = same.join(a.withColumnRenamed("class", "class_a"), "class_a").join(b.withColumnRenamed("class", "class_b"), "class_b")
+    met = met.where((F.col("id_a") < F.col("id_b")) | ((F.col("class_a") != F.col("class_b")) & (F.col("id_a") != F.col("id_b"))))
+    return met.select("item_table", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
-def groups(membership: DataFrame, linked: DataFrame, rounds: int = 12) -> DataFrame:
+def groups(membership: DataFrame, linked: DataFrame, rounds: int = 30) -> DataFrame:
     """(item_table, id, class, n_links, group_id): each record once, with the number of classes that its
     own is linked to, and the smallest class that can be reached over links (its connected component).
-
-    Labels are handed on over links, each round also jumping to the label of the label, until none
-    changes; a round is written out, so no plan grows. The links stay distributed throughout.
+    The links stay distributed throughout.
     """
-    from lectern.operators.components import components
-
-    edges = linked.select(F.struct("item_table", "class_a").alias("a"), F.struct("item_table", "class_b").alias("b"))
-    named = edges.select(_key("a", "class_a").alias("a"), _key("b", "class_b").alias("b"))
-    labels = components(named, rounds)
-    degree = named.unionByName(named.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    rows = membership.withColumn("node", F.concat_ws("/", "item_table", "class"))
+    edges = linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    labels = components(edges, rounds).withColumnRenamed("node", "class")
+    degree = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     return (
-        rows.join(labels, "node", "left")
-        .join(degree, "node", "left")
-        .select("item_table", "id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("group_id"))
+        membership.join(labels, "class", "left")
+        .join(degree, "class", "left")
+        .select("item_table", "id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class").alias("group_id"))
     )
-
-
-def _key(side: str, name: str) -> Column:
-    return F.concat_ws("/", F.col(f"{side}.item_table"), F.col(f"{side}.{name}"))
