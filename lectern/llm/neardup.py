@@ -170,7 +170,8 @@ def sketches(records: DataFrame, size: int = 3, least: int = 15, bands: int = BA
                     lengths = np.array([len(coded[j]) for j in some])
                     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                     own = registers(*shingle_hashes(np.concatenate([coded[j] for j in some]), starts, lengths, size), count)
-                    for j, k, b in zip(some, band_keys(own, bands, rows), packed_bits(own)):
+                    apart = np.array([xxhash.xxh64_intdigest(found[j][0]) for j in some], dtype=np.uint64).view(np.int64)
+                    for j, k, b in zip(some, band_keys(own, bands, rows) ^ apart[:, None], packed_bits(own)):
                         keys[j], bits[j] = k, b
                 yield pa.RecordBatch.from_arrays(
                     [

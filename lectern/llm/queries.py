@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, mixing, neardup, neighbours, splitting, tokens
+from lectern.llm import boilerplate, mixing, neardup, neighbours, pii, splitting, tokens
 from lectern.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,8 +74,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(sized, targets, mixing.mix(sized, targets))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "documents"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(table(spark, folder, "documents"), clean=True).select("doc_id", "text", F.size("spans").alias("n_pieces"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"
