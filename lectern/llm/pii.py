@@ -217,18 +217,19 @@ def _terms(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
 def term_counts(text: str, counts: dict[str, list[int]]) -> None:
     """Adds to term -> [uses, uses inside an entity, as the first of two, as the second of two]."""
     terms = _terms(text, [])
-    inside_until, previous = -1, None
+    inside_until, previous, plain = -1, None, False
     for start, end, term in terms:
         own = counts.get(term)
         if own is None:
             own = counts[term] = [0, 0, 0, 0]
         own[0] += 1
         entity = False
-        if _cue(text, _initials(text, start)) == "strong":
-            entity, inside_until = True, end
+        lead = _initials(text, start)
+        if _cue(text, lead) == "strong":
+            entity, inside_until, plain = True, end, lead == start
         elif inside_until >= 0 and previous and previous[1] == inside_until:
             gap = text[inside_until:start]
-            entity = gap == "-" or _JOIN_SPACE.fullmatch(gap) is not None or _JOIN_COMMA.fullmatch(gap) is not None
+            entity = gap == "-" or _JOIN_SPACE.fullmatch(gap) is not None or (plain and _JOIN_COMMA.fullmatch(gap) is not None)
             if entity and _JOIN_SPACE.fullmatch(gap):
                 counts[previous[2]][2] += 1
                 own[3] += 1

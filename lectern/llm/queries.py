@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import boilerplate, mixing, neardup, neighbours, pii, splitting, tokens
+from lectern.llm import boilerplate, mixing, neardup, neighbours, pii, scanned, splitting, tokens
 from lectern.session import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.pairs(p2_neighbours(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned.damaged_lines(table(spark, folder, "page_texts"))
+
+
 def _p4_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, t) for t in ("chunk_parents", "chunks", "documents", "chunk_limits")]
 
@@ -83,7 +87,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"
