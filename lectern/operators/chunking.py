@@ -25,7 +25,7 @@ def windows(texts: DataFrame, size: Column, overlap_ratio: Column) -> DataFrame:
     ``texts`` has (id, text). A text that fits is one window, only stripped; the last window is the
     first that reaches the end; blank and null texts give none.
     """
-    listed = texts.where(F.trim(F.col("text")) != "").select("id", "text", words(F.col("text")).alias("words"), size.cast("int").alias("size"), overlap_ratio.alias("ratio"))
+    listed = texts.select("id", "text", words(F.col("text")).alias("words"), size.cast("int").alias("size"), overlap_ratio.alias("ratio")).where(F.size("words") > 0)
     overlap = F.greatest(F.lit(1), F.floor(F.col("size") * F.col("ratio")).cast("int"))
     listed = listed.withColumn("step", F.greatest(F.lit(1), F.col("size") - overlap)).withColumn("n", F.size("words"))
     count = 1 + F.ceil(F.greatest(F.lit(0), F.col("n") - F.col("size")) / F.col("step")).cast("int")

@@ -46,6 +46,7 @@ def ancestor_titles(nodes: DataFrame) -> DataFrame:
 
 
 def nested(nodes: DataFrame) -> DataFrame:
-    """(unit_id, title, children array<struct<node_id, title>>): each unit with its direct children, sorted."""
-    child = nodes.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "title"))).alias("children"))
+    """(unit_id, title, children array<string>): each unit with the titles of its direct children, by their ids."""
+    child = nodes.where(F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("unit_id")).agg(F.array_sort(F.collect_list(F.struct("node_id", "title"))).alias("c"))
+    child = child.select("unit_id", F.col("c.title").alias("children"))
     return nodes.where(F.col("node_type") == "unit").select(F.col("node_id").alias("unit_id"), "title").join(child, "unit_id", "left")

@@ -200,7 +200,7 @@ def ancestor_labels(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.ancestor_titles(views.customers_tree(spark, folder)[0])
 
 
-@query("""SELECT 'r'||r_regionkey AS unit_id, r_name AS title, (SELECT list({'node_id': 'n'||n_nationkey, 'title': n_name} ORDER BY 'n'||n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS children FROM region""")
+@query("""SELECT 'r'||r_regionkey AS unit_id, r_name AS title, (SELECT list(n_name ORDER BY 'n'||n_nationkey) FROM nation WHERE n_regionkey = r_regionkey) AS children FROM region""")
 def structure_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.nested(views.customers_tree(spark, folder)[0])
 

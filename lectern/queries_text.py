@@ -1 +1,112 @@
-"""Queries over parsed text."""
+"""Queries over parsed text: outlines, questions, keyphrases, concepts, page quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text as fn
+from lectern.operators import concepts, exam_parse, outline
+from lectern.plans import views
+from lectern.queries import query
+from lectern.session import table
+from lectern.sources import readers
+
+_PAGES = "p AS (SELECT document_id, page, min(text) AS text FROM page_texts GROUP BY 1,2), li AS (SELECT document_id, page, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM p WHERE text IS NOT NULL)"
+_SEC = r"'^\s*([0-9]{1,2})\.([0-9]{1,2})\s+(\p{L}.*?)\s*$'"
+_SPANS = f"""{_PAGES}, h AS (SELECT document_id, page, line_no, CAST(regexp_extract(line, {_SEC}, 1) AS INTEGER) AS major, CAST(regexp_extract(line, {_SEC}, 2) AS INTEGER) AS minor, regexp_extract(line, {_SEC}, 3) AS title FROM li WHERE regexp_matches(line, {_SEC})),
+  f AS (SELECT document_id, major, minor, title, page AS page_start FROM (SELECT *, row_number() OVER (PARTITION BY document_id, major, minor ORDER BY page, line_no) AS rn FROM h) WHERE rn = 1),
+  lp AS (SELECT document_id, max(page) AS last_page FROM p GROUP BY 1),
+  sp AS (SELECT document_id, major, minor, title, page_start, greatest(page_start, coalesce(lead(page_start) OVER (PARTITION BY document_id ORDER BY page_start, major, minor) - 1, last_page)) AS page_end FROM f JOIN lp USING (document_id))"""
+
+
+def _spans(spark: SparkSession, folder: str) -> DataFrame:
+    pages = views.pages(spark, folder)
+    return outline.section_spans(outline.section_headings(pages), pages.groupBy("document_id").agg(F.max("page").alias("last_page")))
+
+
+@query(f"WITH {_SPANS} SELECT * FROM sp")
+def outline_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(spark, folder)
+
+
+@query(f"WITH {_SPANS} SELECT document_id, major, min(page_start) AS page_start, max(page_end) AS page_end, count(*) AS n_sections FROM sp GROUP BY 1,2")
+def outline_units(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.unit_ranges(_spans(spark, folder))
+
+
+_UNIT = r"'^\s*(?i:unit|chapter|module)\s*[-–—:.]?\s*((?i:[ivxl]+)|[0-9]{1,2})\b\s*[-–—:.]*\s*(.*?)\s*$'"
+
+
+@query(f"""WITH {_PAGES}, u AS (SELECT document_id, page, line_no, lower(regexp_extract(line, {_UNIT}, 1)) AS r, regexp_extract(line, {_UNIT}, 2) AS title FROM li WHERE regexp_matches(line, {_UNIT})),
+    m(r, unit_no) AS (VALUES {', '.join(f"('{k}',{v})" for k, v in outline.ROMAN.items())}) SELECT document_id, page, line_no, unit_no, title FROM u JOIN m USING (r)""")
+def unit_headings(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.unit_headings(views.pages(spark, folder))
+
+
+@query("""SELECT document_id, CAST(s AS INTEGER) AS page_start, CAST(least(page_count, s + 9) AS INTEGER) AS page_end FROM (SELECT document_id, page_count, unnest(range(1, page_count + 1, 10)) AS s FROM documents WHERE page_count > 0)""")
+def stub_outline(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.page_buckets(table(spark, folder, "documents"))
+
+
+@query()
+def outline_json(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.outline_json(_spans(spark, folder))
+
+
+@query()
+def question_parse(spark: SparkSession, folder: str) -> DataFrame:
+    papers = table(spark, folder, "documents").where("doc_kind = 'past_paper'").select("document_id")
+    return exam_parse.parse_questions(views.pages(spark, folder).join(papers, "document_id", "left_semi"))
+
+
+@query(r"""SELECT document_id, page, CASE WHEN regexp_matches(coalesce(text,''), '(?im)^\W*(part|section)\s*[-–—:.]?\s*[ab]\b') THEN 'part_ab' WHEN contains(lower(substr(text,1,400)),'compulsory') THEN 'compulsory'
+    WHEN NOT regexp_matches(lower(substr(text,1,400)), '(?m)^\s*(q\.?\s*)?1[.) ]') THEN 'continuation' ELSE 'plain' END AS format FROM (SELECT document_id, page, min(text) AS text FROM page_texts GROUP BY 1,2) WHERE text IS NOT NULL""")
+def page_formats(spark: SparkSession, folder: str) -> DataFrame:
+    return views.pages(spark, folder).where("text IS NOT NULL").select("document_id", "page", exam_parse.paper_format(F.col("text")).alias("format"))
+
+
+@query(r"""SELECT question_id, CAST(nullif(regexp_extract(paper_label,'(20[0-9]{2})',1),'') AS INTEGER) AS year, nullif(regexp_extract(question_number,'^\s*([0-9]+)',1),'') AS main, coalesce(regexp_matches(regexp_replace(lower(question_number),'[.()\s]','','g'),'^[0-9]+[a-g]$'),false) AS is_subpart,
+    CASE WHEN length(prompt_text) > 160 THEN rtrim(substr(prompt_text,1,157), ' ')||'...' ELSE prompt_text END AS snippet FROM (SELECT DISTINCT * FROM exam_questions)""")
+def paper_code_year(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "exam_questions").distinct()
+    number = F.col("question_number")
+    return rows.select("question_id", fn.year_of(F.col("paper_label")).alias("year"), fn.main_number(number).alias("main"), fn.is_subpart(number).alias("is_subpart"), fn.snippet(F.col("prompt_text")).alias("snippet"))
+
+
+@query()
+def keyphrases(spark: SparkSession, folder: str) -> DataFrame:
+    return concepts.extract(views.questions(spark, folder))
+
+
+@query()
+def concept_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return concepts.cluster(concepts.extract(views.questions(spark, folder)))
+
+
+@query()
+def derived_concept_links(spark: SparkSession, folder: str) -> DataFrame:
+    questions = views.questions(spark, folder)
+    phrases = concepts.extract(questions)
+    terms = concepts.cluster(phrases).select("scope", "phrase", F.col("label").alias("concept"))
+    return concepts.concept_links(questions, phrases, terms)
+
+
+@query()
+def fuzzy_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each question against the next of its paper and section: the overlap of their prompts."""
+    rows = views.questions(spark, folder).select("question_id", "document_id", "section_title", "prompt_text").where("section_title IS NOT NULL")
+    from pyspark.sql import Window
+
+    window = Window.partitionBy("document_id", "section_title").orderBy("question_id")
+    pairs = rows.select("question_id", "prompt_text", F.lead("question_id").over(window).alias("other_id"), F.lead("prompt_text").over(window).alias("other_text")).where("other_id IS NOT NULL")
+    return exam_parse.fuzzy_pairs(pairs, "prompt_text", "other_text").select("question_id", "other_id", "overlap")
+
+
+@query("""WITH p AS (SELECT document_id, page, min(text) AS text, bool_or(used_ocr) AS u FROM page_texts GROUP BY 1,2), s AS (SELECT document_id, min(page) AS f, max(page) AS l, count(*) AS n FROM p GROUP BY 1),
+    k AS (SELECT p.* FROM p JOIN s USING (document_id) WHERE ((page - f) % greatest(1, n // 12) = 0 AND (page - f) / greatest(1, n // 12) < 11) OR page = l),
+    a AS (SELECT document_id, count(*) AS n_pages, round(avg(CASE WHEN length(trim(coalesce(text,''))) <= 50 THEN 1 ELSE 0 END),6) AS empty_ratio, round(avg(CASE WHEN coalesce(u,false) THEN 1 ELSE 0 END),6) AS ocr_ratio, round(avg(length(coalesce(text,''))),2) AS mean_chars FROM k GROUP BY 1)
+    SELECT *, CASE WHEN empty_ratio >= 0.5 OR ocr_ratio >= 0.5 THEN 'ocr' ELSE 'native' END AS tier FROM a""")
+def page_quality(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "page_texts").groupBy("document_id", "page").agg(F.min("text").alias("text"), F.max("used_ocr").alias("used_ocr"))
+    return readers.page_quality(pages)
