@@ -58,9 +58,13 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
+#: Queries whose rank is an int here and a bigint in the SQL's row_number().
+_RANKED = ("concept_page_ranked", "predictions_ranked", "top_topics", "vector_topk", "lexical_any", "lexical_all", "rrf_fusion", "confidence_gate", "context_budget")
+
+
 def oracle_sql() -> dict[str, str]:
     queries()
-    return dict(_SQL)
+    return _SQL | {name: f"SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ({_SQL[name]})" for name in _RANKED}
 
 
 # --- analytics ---------------------------------------------------------------------------------------
@@ -190,7 +194,7 @@ _TREE = """nodes AS (SELECT 'r'||r_regionkey AS node_id, 'unit' AS node_type, r_
 @query(f"""WITH {_TREE}, f AS (SELECT n.unit_id, n.part_id, n.node_id, 'q'||o_orderkey AS q, CAST(o_orderkey % 12 AS INTEGER) AS m FROM orders JOIN nodes n ON n.node_id = 'c'||o_custkey),
     a AS (SELECT node_id, q, m FROM f UNION ALL SELECT part_id, q, m FROM f UNION ALL SELECT unit_id, q, m FROM f),
     s AS (SELECT node_id, count(DISTINCT q) AS u, CAST(count(*) FILTER (m >= 8) AS BIGINT) AS ll, CAST(count(*) FILTER (m < 8) AS BIGINT) AS ls, sum(m) AS sm FROM a GROUP BY node_id)
-    SELECT node_id, round(coalesce(0.5*u,0.0),4) AS question_count, coalesce(u,0) AS unique_questions, coalesce(ll,0) AS link_long, coalesce(ls,0) AS link_short, round(coalesce(0.5*sm,0.0),2) AS marks_total FROM nodes LEFT JOIN s USING (node_id)""")
+    SELECT node_id, CAST(coalesce(0.5*u,0.0) AS DOUBLE) AS question_count, coalesce(u,0) AS unique_questions, coalesce(ll,0) AS link_long, coalesce(ls,0) AS link_short, CAST(coalesce(0.5*sm,0.0) AS DOUBLE) AS marks_total FROM nodes LEFT JOIN s USING (node_id)""")
 def structure_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.rollup(*views.customers_tree(spark, folder))
 
