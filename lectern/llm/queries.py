@@ -34,6 +34,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.damaged_lines(table(spark, folder, "page_texts"))
 
 
+def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned.readable_pages(table(spark, folder, "page_texts"))
+
+
 def _p4_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, t) for t in ("chunk_parents", "chunks", "documents", "chunk_limits")]
 
@@ -87,7 +91,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_pages, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"
@@ -109,6 +113,16 @@ _SQL = {
           UNION ALL
           SELECT 'chunks', chunk_id, text, child_tokens FROM chunks JOIN kinds USING (document_id) JOIN chunk_limits USING (doc_kind))
         SELECT DISTINCT item_table, item_id FROM items WHERE len(regexp_extract_all(text, '[^ \t\r\n\f\x{00A0}]+')) > words""",
+    "p5_found": r"""
+        WITH records AS (
+          SELECT DISTINCT 'exam_questions' AS item_table, question_id AS id, prompt_text AS text FROM exam_questions WHERE prompt_text IS NOT NULL
+          UNION SELECT DISTINCT 'chunks', chunk_id, text FROM chunks WHERE text IS NOT NULL),
+        listed AS (SELECT item_table, id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM records),
+        shingles AS (SELECT DISTINCT item_table, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM listed WHERE len(w) >= 15),
+        sizes AS (SELECT item_table, id, count(*) AS n FROM shingles GROUP BY ALL),
+        shared AS (SELECT a.item_table, a.id AS id_a, b.id AS id_b, count(*) AS k FROM shingles a JOIN shingles b ON a.item_table = b.item_table AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+        SELECT k.item_table, id_a, id_b FROM shared k JOIN sizes x ON x.item_table = k.item_table AND x.id = id_a JOIN sizes y ON y.item_table = k.item_table AND y.id = id_b
+        WHERE k / (x.n + y.n - k) >= 0.6""",
 }
 
 
