@@ -24,6 +24,8 @@ MIN_BITS, MIN_SHARE, MIN_USES = 1.0, 0.1, 2
 BROADCAST_TERMS = 300_000
 _FLUSH = 200_000
 POSSIBLE = 3
+#: Share of uses inside entities that makes a name term whatever its bits.
+SURE_SHARE = 0.5
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 
@@ -340,7 +342,7 @@ def name_terms(counted: DataFrame, min_bits: float = MIN_BITS, min_share: float
     seldom to be name terms by themselves, which only lengthen a name that begins with one or an initial.
     """
     share = F.col("inside") / F.col("uses")
-    discloses = F.col("disclosure") >= min_bits
+    discloses = (F.col("disclosure") >= min_bits) | (share >= SURE_SHARE)  # the latter where most terms of a corpus are names
     sure = discloses & (share >= min_share) & (F.col("inside") >= min_uses)
     return counted.where(discloses).select("term", F.when(sure, F.col("role")).otherwise(POSSIBLE).alias("role"))
 
