@@ -38,6 +38,10 @@ def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
     return scanned.readable_pages(table(spark, folder, "page_texts"))
 
 
+def p3_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned.readable_chunks(table(spark, folder, "chunks"), table(spark, folder, "page_texts"))
+
+
 def _p4_tables(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [table(spark, folder, t) for t in ("chunk_parents", "chunks", "documents", "chunk_limits")]
 
@@ -91,7 +95,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_pages, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_pages, p3_chunks, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"

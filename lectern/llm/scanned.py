@@ -187,12 +187,10 @@ def _tokens(scanned: DataFrame, following: DataFrame) -> DataFrame:
                 out += page_lines(document, page, text, after)
             yield pa.RecordBatch.from_pylist(out, schema=_LINES)
 
-    return joined.mapInArrow(
-        run,
-        "document_id string, page int, line_no int, edge string, number boolean, form string, head string, tail string, tail_line int, next_tail string, mark string, both_upper boolean, words array<string>, pairs array<string>",
-    )
+    return joined.mapInArrow(run, _LINES_DDL)
 
 
+_LINES_DDL = "document_id string, page int, line_no int, edge string, number boolean, form string, head string, tail string, tail_line int, next_tail string, mark string, both_upper boolean, words array<string>, pairs array<string>"
 _LINES = pa.schema(
     [
         ("document_id", pa.string()), ("page", pa.int32()), ("line_no", pa.int32()), ("edge", pa.string()), ("number", pa.bool_()), ("form", pa.string()), ("head", pa.string()),
@@ -243,6 +241,88 @@ def _next_page_word(after: str | None, page: int) -> str | None:
     return core(lines[free[0] if free else first].split()[0]) or None
 
 
+def aligned(lines: list[str], stream: list[str]) -> dict[int, int]:
+    """{line: position in stream} of the lines of a chunk that stand in its pages' lines; both with single blanks.
+
+    The longest runs of equal lines are taken, from the chunk's begin on; a part of a line at the chunk's
+    begin or end counts where the line beside it stands beside the whole one.
+    """
+    where: dict[str, list[int]] = {}
+    for k, line in enumerate(stream):
+        where.setdefault(line, []).append(k)
+    full = [i for i, line in enumerate(lines) if line]
+    out: dict[int, int] = {}
+    at, last = 0, -1
+    while at < len(full):
+        best = (0, False, 0)
+        for start in where.get(lines[full[at]], ()):
+            run = 0
+            while at + run < len(full) and start + run < len(stream) and lines[full[at + run]] == stream[start + run]:
+                run += 1
+            best = max(best, (run, start > last, -start))
+        for k in range(best[0]):
+            out[full[at + k]] = last = k - best[2]
+        at += max(1, best[0])
+    if len(full) > 1:
+        first, second, end, before = full[0], out.get(full[1], 0) - 1, full[-1], out.get(full[-2], len(stream)) + 1
+        if first not in out and second >= 0 and stream[second].endswith(lines[first]):
+            out[first] = second
+        if end not in out and before < len(stream) and stream[before].startswith(lines[end]):
+            out[end] = before
+    return out
+
+
+def chunk_lines(chunk: str, page: int, text: str, own: bool, pages: list) -> list[dict]:
+    """The lines of a chunk as ``page_lines`` has them, numbers and headers of its pages marked as number.
+
+    ``pages`` (page, scanned, text, drops) are the chunk's page, what it may reach into and one page at
+    either side; ``own`` tells whether its page was scanned. Of lines of pages that weren't scanned no words
+    come out. Line -1 is the line before the chunk, where it ends within a word. No rows come out of a chunk without scanned lines.
+    """
+    stream = []
+    for q in sorted(pages, key=lambda q: q["page"]):
+        gone = set(q["drops"] or ())
+        stream += [(" ".join(line.split()), bool(q["scanned"]), i in gone) for i, line in enumerate(q["text"].split("\n")) if line.strip()]
+    lines = text.split("\n")
+    at = aligned([" ".join(line.split()) for line in lines], [line for line, _, _ in stream])
+    if not own and not any(stream[k][1] for k in at.values()):
+        return []
+    numbers = {i for i, k in at.items() if stream[k][2]}
+    body = [i for i, line in enumerate(lines) if line.strip() and i not in numbers]
+    kept = [k for k, (_, _, dropped) in enumerate(stream) if not dropped]
+    rank = {k: n for n, k in enumerate(kept)}
+    beside = lambda k, by: kept[rank[k] + by] if 0 <= rank[k] + by < len(kept) else None
+    cut = lambda line: len(t := line.split()[-1]) > 1 and t[-1] in MARKS and t[-2].isalpha()
+    empty = {"document_id": chunk, "page": page, "number": False, "words": []} | dict.fromkeys(("pairs", "edge", "form", "head", "tail", "tail_line", "next_tail", "mark", "both_upper"))
+
+    def ending(line: str, after: str | None, line_no: int | None) -> dict:
+        lastly, token = line.split()[-1], after.split()[0] if after else ""
+        tail = core(token) or None
+        return {"head": core(lastly[:-1]), "mark": lastly[-1], "tail": tail, "tail_line": line_no, "next_tail": tail, "both_upper": token[:1].isupper() and lastly[:1].isupper()}
+
+    out = []
+    for n, i in enumerate(body):
+        line, k = lines[i], at.get(i)
+        if k is None:
+            before = lines[body[n - 1]] if n else None
+            after, line_no, scanned = (lines[body[n + 1]], body[n + 1], True) if n + 1 < len(body) else (None, None, own)
+        else:
+            b, a, scanned = beside(k, -1), beside(k, 1), stream[k][1]
+            before = stream[b][0] if b is not None and stream[b][1] else None
+            after = stream[a][0] if a is not None else None
+            line_no = body[n + 1] if n + 1 < len(body) and a is not None and at.get(body[n + 1]) == a else None
+        row = empty | {"line_no": i}
+        if scanned:
+            tokens = line.split()
+            begins, ends = int(before is not None and cut(before)), cut(line)
+            row["words"] = [c for t in tokens[begins : max(begins, len(tokens) - ends)] if (c := core(t))]
+            row |= ending(line, after, line_no) if ends else {}
+        if n == 0 and k is not None and before is not None and cut(before):
+            out.append(empty | {"line_no": -1} | ending(before, line, i))
+        out.append(row)
+    return out + [empty | {"line_no": i, "number": True} for i in sorted(numbers)] + ([] if body or numbers else [empty | {"line_no": 0}])
+
+
 def header_lines(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """(document_id, page, line_no) of the headers and footers among the edge lines ``lines``.
 
@@ -309,11 +389,14 @@ class Scanned:
         self.pages = pages_once(pages).persist(StorageLevel.MEMORY_AND_DISK)
         self.words = cut_lineage(lexicon(self.pages))
         self.scanned = self.pages.where("scanned")
-        following = self.pages.select("document_id", (F.col("page") - 1).alias("page"), F.col("text").alias("next_text"))
-        self.lines = cut_lineage(_tokens(self.scanned, following))
+        self.lines = cut_lineage(self._page_lines())
         self.edges = cut_lineage(_edges(self.pages))
         self.headers = cut_lineage(header_lines(self.lines, self.edges))
 
+    def _page_lines(self) -> DataFrame:
+        following = self.pages.select("document_id", (F.col("page") - 1).alias("page"), F.col("text").alias("next_text"))
+        return _tokens(self.scanned, following)
+
     def cut_words(self) -> DataFrame:
         """(document_id, page, line_no, head, tail, whole) of lines ending within a word written without a hyphen."""
         rows = self.lines.where(F.col("head").isNotNull() & ~F.col("number")).join(self.headers, ["document_id", "page", "line_no"], "left_anti")
@@ -382,7 +465,7 @@ class Scanned:
         drops = self.lines.where("number").select(*key, "line_no").union(self.headers).groupBy(*key).agg(F.collect_set("line_no").alias("drops"))
         fixes = self.misread_words().where(F.col("repair").isNotNull()).groupBy(*key).agg(F.collect_list(F.struct("line_no", "word", "repair")).alias("fixes"))
         joins = cut.groupBy(*key).agg(F.collect_list(F.struct("line_no", "tail", "over_page")).alias("joins"))
-        carried = cut.where(F.col("over_page") & F.col("tail").isNotNull()).select("document_id", (F.col("page") + 1).alias("page"), F.col("tail").alias("carried")).groupBy(*key).agg(F.min("carried").alias("carried"))
+        carried = self._carried(cut).groupBy(*key).agg(F.min("carried").alias("carried"))
         rows = self.scanned.select(*key, "text")
         for part in (drops, fixes, joins, carried):
             rows = rows.join(part, key, "left")
@@ -395,6 +478,10 @@ class Scanned:
 
         return rows.mapInArrow(run, "document_id string, page int, text string, n_dropped int, n_repaired int, n_joined int")
 
+    def _carried(self, cut: DataFrame) -> DataFrame:
+        """(document_id, page, carried): the parts at the begin of a page of words that stand whole on the page before."""
+        return cut.where(F.col("over_page") & F.col("tail").isNotNull()).select("document_id", (F.col("page") + 1).alias("page"), F.col("tail").alias("carried"))
+
     def found(self) -> DataFrame:
         """(document_id, page, line_no, kind), one row per damaged line and kind."""
         at = ["document_id", "page", "line_no"]
@@ -405,6 +492,58 @@ class Scanned:
         return numbers.union(headers).union(cut).union(misread).distinct()
 
 
+class ScannedChunks(Scanned):
+    """The damage in the chunks cut from scanned pages: chunk_id stands for document_id.
+
+    A chunk's lines are found again in its pages, which tell what is a header or page number and how a word
+    goes on that the chunk's end cuts; lines found nowhere are kept and their words repaired like others.
+    """
+
+    def __init__(self, chunks: DataFrame, pages: DataFrame):
+        super().__init__(pages)
+        key = ["document_id", "page"]
+        usable = chunks.where(F.col("chunk_id").isNotNull() & F.col("document_id").isNotNull() & F.col("page").isNotNull() & F.col("text").isNotNull())
+        once = usable.join(self.scanned.select("document_id").distinct(), "document_id", "left_semi").groupBy("chunk_id").agg(*(F.min(c).alias(c) for c in (*key, "text"))).persist(StorageLevel.MEMORY_AND_DISK)
+        full = lambda text: F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"\S")))
+        sized = self.pages.join(self.scanned.select("document_id").distinct(), "document_id", "left_semi").select(*key, F.coalesce("scanned", F.lit(False)).alias("own"), full("text").alias("n"))
+        placed = sized.withColumn("end", F.sum("n").over(Window.partitionBy("document_id").orderBy("page"))).withColumn("begin", F.col("end") - F.col("n"))
+        held = once.select("chunk_id", *key, full("text").alias("lines")).join(placed.drop("n"), key).drop("page")
+        # the lines of the chunk's page, as many after it as the chunk has, and the page that ends before it
+        others = placed.where("n > 0").select("document_id", "page", F.col("begin").alias("from"), F.col("end").alias("to"))
+        near = held.join(others, "document_id", "left").where(F.col("page").isNull() | ((F.col("to") >= F.col("begin")) & (F.col("from") < F.col("end") + F.col("lines")))).select("chunk_id", *key, "own")
+        drops = self.lines.where("number").select(*key, "line_no").union(self.headers).groupBy(*key).agg(F.collect_set("line_no").alias("drops"))
+        texts = self.pages.join(drops, key, "left").select(*key, F.struct("page", "scanned", "text", "drops").alias("about"))
+        reach = near.join(texts, key, "left").groupBy("chunk_id").agg(F.max("own").alias("own"), F.collect_list("about").alias("pages"))
+        joined = once.join(reach, "chunk_id").select("chunk_id", "page", "text", "own", "pages")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [row for values in zip(*(batch.column(i).to_pylist() for i in range(5))) for row in chunk_lines(*values)]
+                yield pa.RecordBatch.from_pylist(out, schema=_LINES)
+
+        self.lines = cut_lineage(joined.mapInArrow(run, _LINES_DDL))
+        self.headers = self.headers.limit(0)
+        self.scanned = once.select(F.col("chunk_id").alias("document_id"), "page", "text").join(self.lines.select("document_id").distinct(), "document_id", "left_semi")
+
+    def _page_lines(self) -> DataFrame:
+        """Of the pages themselves only page numbers and edge lines are asked."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for document, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    first, last, numbers = edge_lines(text, page)
+                    lines, at = text.split("\n"), {"document_id": document, "page": page}
+                    out += [at | {"line_no": i, "number": True} for i in numbers]
+                    out += [at | {"line_no": i, "number": False, "edge": "first" if i == first else "last", "form": form(lines[i]), "pairs": header_pairs(lines[i])} for i in {first, last} - {None}]
+                yield pa.RecordBatch.from_pylist(out, schema=_LINES)
+
+        return self.scanned.select("document_id", "page", "text").mapInArrow(run, _LINES_DDL)
+
+    def _carried(self, cut: DataFrame) -> DataFrame:
+        return cut.where(F.col("line_no") < 0).select("document_id", "page", F.col("tail").alias("carried"))
+
+
 _OPENS = re.compile(r"^\s*(?:[-*•»]\s|\d{1,2}[.)]?\s|\(?[a-z]\)\s|(?i:unit|chapter|part)\b|\d+\.\d+\s)")
 
 
@@ -500,3 +639,12 @@ def damaged_lines(pages: DataFrame) -> DataFrame:
 def readable_pages(pages: DataFrame) -> DataFrame:
     """The scanned pages as continuous paragraphs, see ``Scanned.paragraphs``; same rows as damaged_lines looks at."""
     return Scanned(pages).paragraphs()
+
+
+def readable_chunks(chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """(chunk_id, text, n_dropped, n_repaired, n_joined) of the chunks that hold lines of scanned pages, each once, repaired as the pages are.
+
+    Chunks with null document_id, page or text take no part. A word cut by a chunk's end stands whole in the
+    chunk it begins in and its rest is left out at the begin of the next.
+    """
+    return ScannedChunks(chunks, pages).paragraphs().withColumnRenamed("document_id", "chunk_id").drop("page")

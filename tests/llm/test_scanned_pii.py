@@ -42,6 +42,33 @@ def test_readable_pages(spark):
     assert (out[5].n_dropped, out[5].n_joined) == (3, 1)
 
 
+def test_readable_chunks(spark):
+    pages = corpus(spark)
+    text = {r.page: r.text for r in pages.where("document_id = 'scan' and text != ''").collect()}
+    lines = text[5].split("\n")
+    rows = [
+        ("whole", "scan", 5, text[5]),
+        ("whole", "scan", 5, text[5]),
+        ("begin", "scan", 5, "\n".join(lines[:3])),
+        ("end", "scan", 5, "\n".join(lines[3:])),
+        ("over", "scan", 5, "\n".join(lines[3:] + text[6].split("\n")[:2])),
+        ("other", "scan", 5, "\n".join(lines[:2]) + "\nrecursive mem0ry buffer"),
+        ("clean", "clean1", 1, "the recursive compiler"),
+        ("null", "scan", 5, None),
+        ("nowhere", "scan", 99, "mem0ry"),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, page int, text string")
+    got = scanned.readable_chunks(chunks, pages).collect()
+    out = {r.chunk_id: r for r in got}
+    assert len(got) == len(out) and set(out) == {"whole", "begin", "end", "over", "other"}
+    assert out["whole"].text == "The recursive compiler delays every buffer. A run-time signal controls the memory of the machine"
+    assert (out["whole"].n_dropped, out["whole"].n_joined) == (3, 1)
+    assert out["begin"].text == "The recursive compiler delays every buffer. A run-time signal controls"
+    assert out["end"].text == "the memory of the machine" and out["end"].n_dropped == 2
+    assert out["over"].text.split() == "the memory of the machine The recursive compiler delays every buffer. A run-".split()
+    assert out["other"].text.endswith("recursive memory buffer")
+
+
 def test_no_pages(spark):
     assert scanned.damaged_lines(corpus(spark).where("false")).count() == 0
 
