@@ -36,6 +36,21 @@ def test_copies_of_one_document_are_kept(spark):
     assert {r.n_removed for r in boilerplate.without_repeated_lines(c, d).collect()} == {0}
 
 
+def letters(i):
+    return "".join(chr(97 + int(d)) for d in f"{i:04}")
+
+
+def test_copies_do_not_make_the_share(spark):
+    copied = "the very same sentence\nof a copied document"
+    bodies = [copied] * 20 + [f"the very same sentence\nwords of text {letters(i)}" for i in (1, 2)] + [f"words of text {letters(i)}\nshared by many here" for i in range(3, 40)]
+    documents = [(f"d{i}", "s") for i in range(len(bodies))]
+    c, d = frames(spark, documents, [(f"c{i}", f"d{i}", b) for i, b in enumerate(bodies)])
+    assert boilerplate.repeated_lines(c, d)[0].where("chunk_id in ('c0', 'c20')").count() == 3
+    out = {r.chunk_id: r.text for r in boilerplate.without_repeated_lines(c, d).collect()}
+    assert out["c0"] == copied and out["c20"] == bodies[20]
+    assert out["c30"] == bodies[30].split("\n")[0]
+
+
 def test_lines_are_taken_out_and_others_unchanged(spark):
     documents = [(f"d{i}", "s") for i in range(4)]
     bodies = ["alpha beta  gamma ", "delta\tepsilon zeta", "eta theta iota kappa", "lambda mu nu xi omicron"]
