@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return boilerplate.without_repeated_lines(table(spark, folder, "chunks"), table(spark, folder, "documents"))
+    return boilerplate.without_repeated_lines(table(spark, folder, "chunks"), table(spark, folder, "documents"), min_dates=boilerplate.MIN_DATES)
 
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:

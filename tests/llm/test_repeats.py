@@ -51,6 +51,20 @@ def test_copies_do_not_make_the_share(spark):
     assert out["c30"] == bodies[30].split("\n")[0]
 
 
+def test_edited_uploads_of_one_day_are_kept(spark, tmp_path):
+    from lectern.llm.queries import queries
+
+    bodies = [f"the very same sentence\nedited on upload {letters(i)}" for i in range(3)] + [f"words of text {letters(i)}\nshared by many here" for i in range(3, 8)]
+    c, d = frames(spark, [(f"d{i}", "s") for i in range(len(bodies))], [(f"c{i}", f"d{i}", b) for i, b in enumerate(bodies)])
+    day = F.regexp_extract("document_id", r"\d+", 0).cast("int")
+    d = d.withColumn("created_at", F.date_add(F.lit("2021-01-01").cast("date"), F.when(day < 3, 0).otherwise(day)).cast("timestamp_ntz"))
+    for name, made in (("chunks", c), ("documents", d)):
+        made.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = {r.chunk_id: r.text for r in queries()["p1_clean"](spark, str(tmp_path)).collect()}
+    assert [out[f"c{i}"] for i in range(3)] == bodies[:3]
+    assert [out[f"c{i}"] for i in range(3, 8)] == [b.split("\n")[0] for b in bodies[3:]]
+
+
 def test_lines_are_taken_out_and_others_unchanged(spark):
     documents = [(f"d{i}", "s") for i in range(4)]
     bodies = ["alpha beta  gamma ", "delta\tepsilon zeta", "eta theta iota kappa", "lambda mu nu xi omicron"]
