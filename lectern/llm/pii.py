@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,6 +89,7 @@ _ADDRESS = re.compile(
 
 # Titles and phrases that introduce a person; a phrase of two words is given by both.
 _TITLES = frozenset("Mr Mrs Ms Miss Mx Dr Prof Professor Sir Mme Mlle Madame Monsieur Frau Herr Sra Sr Srta Shri Smt".split())
+_SHORT_TITLES = frozenset(title for title in _TITLES if len(title) < 3)
 _LABELS = frozenset(("Name:", "contact:", "Contact:", "Thanks,", "I,", "Ask", "Signed,", "Regards,", "Student:", "Author:"))
 _PHRASES = frozenset(("ask for", "submitted by", "lent by", "according to", "signed by", "written by", "regards to"))
 _ENDS = _LABELS | {form for title in _TITLES for form in (title, title + ".")} | {phrase.split()[1] for phrase in _PHRASES}
@@ -96,7 +98,12 @@ _WEAK = frozenset(("see", "by", "to", "and", "for", "In", "from", "with", "or",
 _WORKS = frozenset(
     "rule rules theorem law lemma principle graph tree effect equation method model test limit college university institute school press prize series studies hall archive reader library".split()
 )
-_CAPITAL = re.compile(rf"(?<![\w’'@.+])(?:[{_UP}][{_LOW}]{{2,}}|[{_UP}]{{3,}})(?![\w@])")
+# Capital letters of every script that has them, as ranges of the basic plane.
+_CAPITALS = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Lu", "Lt"))
+#: A capital and more letters, inner capitals too; an apostrophe within stands before a capital and another letter (not 's).
+_CAPITAL = re.compile(rf"(?<![\w’'@.+])[{_CAPITALS}](?:[^\W\d_]|[\u0300-\u036f]|['’](?=[{_CAPITALS}][^\W\d_]))+(?![\w@])")
+#: The same for the JVM; it may find more.
+_CAPITAL_JVM = r"[\p{Lu}\p{Lt}](?:[\p{L}\u0300-\u036f]|['’](?=[\p{Lu}\p{Lt}]\p{L}))+"
 _JOIN_SPACE = re.compile(r"(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?:[A-Z]\.(?:[ \t]+|[ \t]*\r?\n[ \t]*)?)*")
 _JOIN_COMMA = re.compile(r",(?:[ \t]+|[ \t]*\r?\n[ \t]*)")
 _INITIALS = re.compile(r"(?:(?<=[\s(/\"'“«-])|^)(?:[A-Z]\.(?:[ \t]*|[ \t]*\r?\n[ \t]*))+$")
@@ -204,7 +211,7 @@ def _initials(text: str, start: int) -> int:
 
 def _terms(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, lower-cased) of the capitalised terms outside ``taken``."""
-    terms = [(*m.span(), m.group().lower()) for m in _CAPITAL.finditer(text)]
+    terms = [(*m.span(), m.group().lower()) for m in _CAPITAL.finditer(text) if m.group() not in _SHORT_TITLES]
     if not taken:
         return terms
     out, i = [], 0
@@ -267,8 +274,10 @@ def name_spans(text: str, lexicon: dict[str, int], taken: list[tuple[int, int, s
             other = t in lexicon
             if gap == "-" and (other or known):
                 pass
-            elif other and _JOIN_SPACE.fullmatch(gap) and count < 2:
+            elif other and _JOIN_SPACE.fullmatch(gap) and (count < 2 or "\n" not in gap or lexicon[t] != 1):  # on a new line a given name begins the next person
                 count += 1
+            elif lexicon.get(t) == 1 and not comma and count > 1 and not lead and _JOIN_COMMA.fullmatch(gap) and set(roles) == {2}:
+                count, comma = count + 1, True
             elif other and not comma and count == 1 and not lead and _JOIN_COMMA.fullmatch(gap) and roles[0] != 1 and lexicon[t] not in (2, POSSIBLE):
                 count, comma = count + 1, True
             else:
@@ -367,8 +376,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     else:
         row = source.withColumn("row", F.monotonically_increasing_id())
         row = cut_lineage(row)  # row numbers must not change between the two uses
-        capital = rf"\b([{_UP}][{_LOW}]{{2,}}|[{_UP}]{{3,}})\b"
-        own = row.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(capital), F.lit(1)), F.lower))).alias("term"))
+        own = row.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_CAPITAL_JVM), F.lit(0)), F.lower))).alias("term"))
         own = own.join(terms, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "role"))).alias("terms"))
         source = row.join(own, "row", "left").select("id", "text", "terms")
 

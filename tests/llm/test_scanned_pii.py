@@ -105,6 +105,25 @@ def test_pieces(text, kind, piece):
     assert [(k, text[s:e]) for s, e, k in pii.find(text, LEXICON)] == [(kind, piece)]
 
 
+SPELLINGS = {"nemim": 1, "ana": 1, "quastelmoor": 2, "banelsen": 2, "li": 2, "ng": 2, "o'brien": 2, "mcdonald": 2, "dvořák": 2}
+
+
+@pytest.mark.parametrize(
+    "text, pieces",
+    [
+        ("In Nemim Quastelmoor Banelsen's seminar", ["Nemim Quastelmoor Banelsen"]),
+        ("In Ana Nemim Quastelmoor\nBanelsen is", ["Ana Nemim Quastelmoor\nBanelsen"]),
+        ("QUASTELMOOR BANELSEN, NEMIM for", ["QUASTELMOOR BANELSEN, NEMIM"]),
+        ("Nemim Quastelmoor\nAna Banelsen", ["Nemim Quastelmoor", "Ana Banelsen"]),
+        *((f"In Nemim {name}'s seminar", [f"Nemim {name}"]) for name in ("Li", "Ng", "NG", "O'Brien", "McDonald", "Dvořák", "DVOŘÁK", "O'BRIEN")),
+        ("ask for Dr. Li.", ["Li"]),
+        ("ask for Mr. Nobody who", []),
+    ],
+)
+def test_names_of_any_length_and_spelling(text, pieces):
+    assert [text[s:e] for s, e, _ in pii.find(text, SPELLINGS)] == pieces
+
+
 @pytest.mark.parametrize(
     "text",
     ["ISBN 978-0-00-393132-0", "host 192.0.2.93 drops 4 294 967 296 packets", "took 334 782 183 cycles at 3 @ 81 each", "A @ B = C51", "bounds it by 112-91-49 units", "2018-05-27", "By the Olvira rule, no", "Use @opcode.transform on release 8.6.325", "31926178072813684", "", "The node stands at High level."],
