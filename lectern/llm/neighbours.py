@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 MODEL = "study-embed-small-v2"
 DIMENSIONS = 384
 #: Vectors that the centroids are fitted on, at most (about 50 MB on the driver).
@@ -203,8 +205,8 @@ def most_similar(
     Usable are rows of ``model`` (of any with None) with an id and a vector of ``dimensions`` finite
     values that aren't all zero. A repeated row counts once; an id with different vectors is looked for
     with the first that its cell meets. Similarity is the cosine rounded to 6 decimals, ties go to the
-    smaller id. Of equal vectors the k + 1 smallest ids are indexed; the others' answer is the k
-    smallest ids among them. Empty tables give no rows.
+    smaller id. Of equal vectors the k + 1 smallest ids are indexed; the others' answer is the
+    best k of the smallest ids among them and of what the first of them finds. Empty tables give no rows.
     """
     rows = usable(embeddings, model, id_col, vector_col, model_col)
     spark = rows.sparkSession
@@ -247,8 +249,13 @@ def most_similar(
     found = blocks.groupBy("cell").applyInArrow(search, "id string, neighbour string, similarity double")
     if extra is None:
         return found
-    few = surplus.where(F.col("place") <= k).select("same", F.col("id").alias("neighbour"))
-    return found.unionByName(extra.join(few, "same").select("id", "neighbour", F.lit(1.0).alias("similarity")))
+    found = cut_lineage(found)
+    few = surplus.where(F.col("place") <= k).select("same", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    theirs = found.join(surplus.where(F.col("place") == 1).select("same", "id"), "id").select("same", "neighbour", "similarity")
+    merged = few.union(theirs).groupBy("same", "neighbour").agg(F.max("similarity").alias("similarity"))
+    best = Window.partitionBy("same").orderBy(F.desc("similarity"), "neighbour")
+    answer = merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+    return found.unionByName(extra.join(answer, "same").select("id", "neighbour", "similarity"))
 
 
 def _surplus(rows: DataFrame, k: int) -> DataFrame | None:

@@ -53,6 +53,16 @@ def test_many_equal_vectors(spark):
     assert "c0031" in near["c0030"]
 
 
+def test_equal_vectors_find_those_of_their_direction(spark):
+    vectors = np.array([[2.0, 4.0, 6.0, 8.0]] + [[1.0, 2.0, 3.0, 4.0]] * 9 + [[4.0, 3.0, 2.0, 1.0]] * 2, dtype=np.float32)
+    found = neighbours.most_similar(table(spark, vectors), 2, "m", 4)
+    near = {}
+    for r in found.collect():
+        near.setdefault(r.id, []).append(r.neighbour)
+    assert set(near["c0009"]) == set(near["c0004"]) == {"c0000", "c0001"} and all(len(n) == 2 for n in near.values())
+    assert {(int(r.chunk_id_a[1:]), int(r.chunk_id_b[1:])) for r in neighbours.pairs(found).collect()} == exact(vectors.astype(np.float64), 2)
+
+
 def test_packing_loses_nothing():
     random = np.random.default_rng(0)
     for matrix in (random.integers(-50, 50, (7, 12)).astype(np.float32) / 8, random.standard_normal((300, 256)).astype(np.float32)):
