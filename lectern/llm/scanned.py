@@ -151,8 +151,18 @@ def deletes(word: str) -> list[str]:
     return sorted(out)
 
 
-#: Longer tokens are not words; the index leaves them out (they are never repaired).
-LONGEST = 24
+#: Longer words are indexed by the deletes of their first and last characters, HALF of either.
+LONGEST, HALF = 24, 11
+
+
+def index_parts(word: str) -> list[str]:
+    """What two words within the permitted cost share: deletes of the whole word, for long words of both its ends.
+
+    Three confusions, the most that cost permits, leave one of two ends with one at most, which two
+    deletes of either word undo. Words that may be two characters longer than LONGEST when misread have both kinds.
+    """
+    ends = [f"{mark}{part}" for mark, half in (("^", word[:HALF]), ("$", word[-HALF:])) for part in deletes(half)] if len(word) > LONGEST - 2 else []
+    return ends + (deletes(word) if len(word) <= LONGEST else [])
 
 
 def pages_once(pages: DataFrame) -> DataFrame:
@@ -353,13 +363,12 @@ def repairs(unknown: DataFrame, known: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w, c, d) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for d in deletes(w)]
+            rows = [(w, c, d) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for d in index_parts(w)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [(), (), ()], (pa.string(), pa.int64(), pa.string()))], names=["word", "clean", "part"])
 
-    short = F.char_length("word") <= LONGEST
-    letters = known.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("clean") >= TRUSTED) & short).select("word", "clean")
+    letters = known.where(F.col("word").rlike(r"^[\p{L}'’-]+$") & (F.col("clean") >= TRUSTED)).select("word", "clean")
     index = letters.mapInArrow(spread, schema).withColumnRenamed("word", "repair")
-    asked = unknown.where(short & F.col("word").rlike(r"\p{L}|[\d@(]")).select("word", F.lit(0).cast("long").alias("clean")).mapInArrow(spread, schema).drop("clean")
+    asked = unknown.where(F.col("word").rlike(r"\p{L}|[\d@(]")).select("word", F.lit(0).cast("long").alias("clean")).mapInArrow(spread, schema).drop("clean")
     met = asked.join(index, "part").select("word", "repair", "clean").distinct().where(F.abs(F.char_length("word") - F.char_length("repair")) <= 2)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,15 @@ def test_readable_chunks(spark):
     assert out["other"].text.endswith("recursive memory buffer")
 
 
+def test_long_words_are_repaired(spark):
+    printed = ["electroencephalographically", "counterrevolutionary-minded", "microspectrophotometrica"]
+    read = ["electroencephaloqraphically", "countcrrevolutionary-rnindcd", "rnicrospectrophotornetrica"]
+    rows = [(f"clean{i}", 1, f"the {' and '.join(printed)} signal", False, "clash") for i in range(4)] + [("scan", 1, f"the {' and '.join(read)} signal", True, "clash")]
+    pages = spark.createDataFrame(rows, PAGE)
+    assert [(r.line_no, r.kind) for r in scanned.damaged_lines(pages).collect() if r.kind == "misread"] == [(0, "misread")]
+    assert scanned.readable_pages(pages).first().text == f"the {' and '.join(printed)} signal"
+
+
 def test_no_pages(spark):
     assert scanned.damaged_lines(corpus(spark).where("false")).count() == 0
 
