@@ -336,7 +336,8 @@ def lexical_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def metadata_search(spark: SparkSession, folder: str) -> DataFrame:
-    titles = table(spark, folder, "chunks").select(F.col("chunk_id").alias("id"), F.try_element_at("metadata", F.lit("section_title")).alias("text")).where("text IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
+    fields = [F.try_element_at("metadata", F.lit(key)) for key in ("section_title", "toc_path")]
+    titles = table(spark, folder, "chunks").where(F.coalesce(*fields).isNotNull()).select(F.col("chunk_id").alias("id"), F.concat_ws(" ", *fields).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
     return search.bm25(_course_terms(spark, folder), titles, 20)
 
 

@@ -82,3 +82,12 @@ def test_text_functions(spark):
     row = spark.createDataFrame([("  What is the  Binary Tree in Python? ", "Q1 (20 marks) May 2021", "12(b)")], "a string, b string, c string")
     out = row.select(fn.focus_terms(F.col("a")), fn.normalise(F.col("a")), fn.year_of(F.col("b")), fn.main_number(F.col("c")), fn.is_subpart(F.col("c")), fn.token_count(F.lit(None).cast("string"))).first()
     assert list(out) == [["binary", "tree", "python"], "what is the binary tree in python?", 2021, "12", True, 1]
+
+
+def test_metadata_search_reads_the_contents_path(spark, tmp_path):
+    from lectern.queries import queries
+
+    chunks = [("t", {"section_title": "Graph colouring"}), ("p", {"toc_path": "Unit 2 > Graph colouring"}), ("b", {"section_title": "Planar", "toc_path": "Graph"}), ("o", {"page": "graph"}), ("n", None)]
+    spark.createDataFrame(chunks, "chunk_id string, metadata map<string,string>").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("x", "Graph theory")], "course_id string, name string").write.parquet(f"{tmp_path}/courses.parquet")
+    assert {r.id for r in queries()["metadata_search"](spark, str(tmp_path)).collect()} == {"t", "p", "b"}
