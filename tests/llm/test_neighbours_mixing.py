@@ -1,6 +1,8 @@
 """Problems 2 and 7."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lectern.llm import mixing, neighbours
@@ -34,6 +36,60 @@ def test_recall_against_brute_force(spark, cell):
     assert len(got & true) / len(true) >= (1.0 if cell == 10_000 else 0.95)
 
 
+def made(kind, n=12_000, d=384):
+    random = np.random.default_rng(5)
+    if kind == "clusters":
+        return random.standard_normal((60, d))[random.integers(0, 60, n)] + 0.4 * random.standard_normal((n, d))
+    if kind == "latent":
+        return random.standard_normal((n, 32)) @ random.standard_normal((32, d)) + 0.3 * random.standard_normal((n, d))
+    return random.standard_normal((n, d)) + 0.5
+
+
+def recall(spark, vectors, tmp_path, **how):
+    table = pa.table({"chunk_id": [f"c{i:05}" for i in range(len(vectors))], "embedding": pa.array(list(vectors), pa.list_(pa.float32())), "embedding_model": ["m"] * len(vectors)})
+    pq.write_table(table, f"{tmp_path}/v.parquet", row_group_size=2000)
+    near = {}
+    for r in neighbours.most_similar(spark.read.parquet(f"{tmp_path}/v.parquet"), 5, "m", vectors.shape[1], **how).toLocalIterator():
+        near.setdefault(int(r.id[1:]), set()).add(int(r.neighbour[1:]))
+    units = neighbours._unit(vectors).astype(np.float32)
+    hits = 0
+    for at in range(0, len(units), 500):
+        scores = units[at : at + 500] @ units.T
+        scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -9
+        hits += sum(len(set(top) & near.get(at + i, set())) for i, top in enumerate(np.argpartition(-scores, 5, axis=1)[:, :5].tolist()))
+    assert all(len(n) == 5 for n in near.values()) and len(near) == len(units)
+    return hits / 5 / len(units)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "latent", "blob"])
+def test_recall_whatever_the_distribution(spark, tmp_path, kind):
+    assert recall(spark, made(kind).astype(np.float32), tmp_path) >= 0.95
+
+
+@pytest.mark.parametrize("kind", ["clusters", "latent"])
+def test_cells_of_residuals_and_blocks(spark, tmp_path, monkeypatch, kind):
+    monkeypatch.setattr(neighbours, "MOST_COARSE", 6)
+    monkeypatch.setattr(neighbours, "COPYING", 0.0)
+    assert recall(spark, made(kind, 4000, 64).astype(np.float32), tmp_path, cell=100, block=150) >= 0.95
+
+
+def test_blocks_hold_no_more_than_stated():
+    random = np.random.default_rng(2)
+    vectors = random.standard_normal((3000, 16)).astype(np.float32)
+    cells = neighbours.Cells(np.eye(16, dtype=np.float32)[:1])
+    batch = neighbours._blocks([([f"v{i}" for i in range(3000)], vectors)], cells, 0.16, {0: (6, 6)})
+    sizes = [(r["part"], sum(x & 1 for x in r["roles"]), sum(x >> 1 for x in r["roles"])) for r in batch.to_pylist()]
+    assert len(sizes) == 36 and all(q < 600 and m < 600 for _, q, m in sizes)
+    assert sum(m for p, _, m in sizes if p < 6) == 3000 and sum(q for p, q, _ in sizes if p % 6 == 0) == 3000
+
+
+def test_an_id_with_two_vectors_counts_once(spark):
+    vectors = np.eye(4, dtype=np.float32) + 0.1
+    twice = [("c0000", [9.0, 9.0, 9.0, 1.0], "m", 4), ("c0001", [0.2, 2.2, 0.2, 0.2], "m", 4)]
+    first, again = ({(r.id, r.neighbour, r.similarity) for r in neighbours.most_similar(table(spark, vectors, twice).repartition(n, "chunk_id", "embedding"), 3, "m", 4).collect()} for n in (1, 4))
+    assert first == again and len(first) == 12
+
+
 def test_unusable_rows_take_no_part(spark):
     vectors = np.eye(4, dtype=np.float32) + 0.1
     bad = [("n", None, "m", 4), ("z", [0.0] * 4, "m", 4), ("s", [1.0], "m", 4), ("x", [float("nan")] * 4, "m", 4), ("i", [float("inf"), 0.0, 0.0, 0.0], "m", 4), ("p", [1.0, None, 0.0, 0.0], "m", 4), ("o", [1.0] * 4, "old", 4), (None, [1.0] * 4, "m", 4), ("c0000", [float(x) for x in vectors[0]], "m", 4)]
