@@ -65,6 +65,27 @@ def test_edited_uploads_of_one_day_are_kept(spark, tmp_path):
     assert [out[f"c{i}"] for i in range(3, 8)] == [b.split("\n")[0] for b in bodies[3:]]
 
 
+def test_an_article_reprinted_with_edits_keeps_its_lines(spark):
+    article = ["the harbour was quiet in the early morning", "ships waited for the tide outside the wall", "the pilot counted lamps along the quay", "rain moved slowly over the western hills", "nobody spoke until the bell had rung"]
+    reprints = ["\n".join([*article, f"this edition was revised by printer {letters(i)}"]) for i in range(4)]
+    notice = "subscribe to receive our weekly bulletin"
+    others = [f"{letters(10 * i + 1)} wrote about the garden wall {letters(i)}\nanother thought on matter {letters(700 + i)}\n{notice if i < 4 else letters(i) * 3}" for i in range(8)]
+    bodies = reprints + others
+    c, d = frames(spark, [(f"d{i}", "s") for i in range(12)], [(f"c{i}", f"d{i}", b) for i, b in enumerate(bodies)])
+    d = d.withColumn("created_at", F.date_add(F.lit("2021-01-01").cast("date"), F.regexp_extract("document_id", r"\d+", 0).cast("int")).cast("timestamp_ntz"))
+    for rule in ({}, {"min_dates": 3}):
+        out = {r.chunk_id: r.text for r in boilerplate.without_repeated_lines(c, d, **rule).collect()}
+        assert [out[f"c{i}"] for i in range(4)] == reprints
+        assert [out[f"c{i}"] for i in range(4, 8)] == [b.removesuffix("\n" + notice) for b in others[:4]]
+        assert [out[f"c{i}"] for i in range(8, 12)] == others[4:]
+
+
+def test_a_hot_band_gives_no_pairs(spark):
+    forms = spark.createDataFrame([("s", k, f) for k in range(2000) for f in (30 << 54, (20 << 54) + k)], "source string, class long, form long")
+    out = boilerplate.similar_classes(forms).collect()
+    assert len(out) == 2000 and len({r.cluster for r in out}) > 1900
+
+
 def test_lines_are_taken_out_and_others_unchanged(spark):
     documents = [(f"d{i}", "s") for i in range(4)]
     bodies = ["alpha beta  gamma ", "delta\tepsilon zeta", "eta theta iota kappa", "lambda mu nu xi omicron"]
