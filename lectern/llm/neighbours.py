@@ -309,23 +309,20 @@ def most_similar(
     """
     rows = usable(embeddings, model, id_col, vector_col, model_col)
     spark = rows.sparkSession
-    bound = int(min(1.0, sample / max(1, rows.count())) * 2**32)
-    directions = cut_lineage(_directions(rows, dimensions, bound))
+    directions = cut_lineage(_directions(rows, dimensions))
+    n = directions.count()
     surplus = _surplus(directions, k)
     extra = surplus.where(F.col("place") > k + 1) if surplus is not None else None
-    chosen = directions.where(F.col("vector").isNotNull())
     conflicts = directions.groupBy("id").agg(F.min("same").alias("only"), F.max("same").alias("other")).where("only <> other").select("id", "only")
     marks = conflicts.withColumn("out", F.lit(False)) if not conflicts.isEmpty() else None
     if extra is not None:
         left_out = extra.select("id", F.lit(None).cast("long").alias("only"), F.lit(True).alias("out")).distinct()
         marks = left_out if marks is None else marks.unionByName(left_out).groupBy("id").agg(F.max("only").alias("only"), F.max("out").alias("out"))
-        chosen = chosen.join(extra.select("id").distinct(), "id", "left_anti")
     if marks is not None:
         rows = rows.join(cut_lineage(marks), "id", "left").where(F.coalesce(~F.col("out"), F.lit(True))).select("id", "vector", "only")
     else:
         rows = rows.select("id", "vector", F.lit(None).cast("long").alias("only"))
-    n = directions.count()
-    units = _sampled(chosen, dimensions)
+    units = _sampled(rows, dimensions, sample / max(1, n))
     if not len(units):
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
     asking, found = _calibration(rows, units[:ASKED], dimensions, k) if n > 2 * cell else (units[:0], units[:0])
@@ -428,18 +425,15 @@ def _id_hashes(ids: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(i) for i in ids), np.uint64, len(ids))
 
 
-def _directions(rows: DataFrame, dimensions: int, bound: int) -> DataFrame:
-    """(id, same, vector) of the good vectors, once each; vector only for the sample, ids of small hashes."""
+def _directions(rows: DataFrame, dimensions: int) -> DataFrame:
+    """(id, same) of the good vectors, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, matrix = _matrix(batch.column(1), dimensions)
-            ids = batch.column(0).take(pa.array(at))
-            chosen = (_id_hashes(ids.to_pylist()) >> np.uint64(32)).astype(np.int64) < bound
-            vectors = [v if c else None for v, c in zip(matrix, chosen)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(direction_hashes(_unit(matrix))), pa.array(vectors, pa.list_(pa.float32()))], names=["id", "same", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(direction_hashes(_unit(matrix)))], names=["id", "same"])
 
-    return rows.mapInArrow(run, "id string, same long, vector array<float>").dropDuplicates(["id", "same"])
+    return rows.mapInArrow(run, "id string, same long").distinct()
 
 
 def _surplus(directions: DataFrame, k: int) -> DataFrame | None:
@@ -455,9 +449,10 @@ def _surplus(directions: DataFrame, k: int) -> DataFrame | None:
     return narrow.join(often, "same", "left_semi").withColumn("place", F.row_number().over(window))
 
 
-def _sampled(chosen: DataFrame, dimensions: int) -> np.ndarray:
-    """The sample's unit vectors in the order of their ids."""
-    table = chosen.select("id", "vector").toArrow().sort_by("id")
+def _sampled(rows: DataFrame, dimensions: int, share: float) -> np.ndarray:
+    """Unit vectors of the ids with the smallest hashes, about that share of all, in an order of their own."""
+    bound = int(min(1.0, share) * (2**31 - 1))
+    table = rows.where(F.pmod(F.xxhash64("id"), F.lit(2**31 - 1)) <= bound).select("id", "vector").toArrow().sort_by("id")
     matrices = [_matrix(part, dimensions)[1] for part in table.column("vector").chunks]
     matrix = np.concatenate(matrices) if matrices else np.zeros((0, dimensions), np.float32)
     return _unit(matrix[np.random.default_rng(13).permutation(len(matrix))]).astype(np.float32)
