@@ -1,40 +1,44 @@
 """Problem 5: records that are nearly the same, by HyperMinHash.
 
 A record is the set of its shingles (runs of consecutive words). Records with the same words in order
-form one class and only one of them is sketched. A sketch has a register per hash function: the count of leading
-zeros of the smallest hash and the mantissa bits after them. (The registers have hash functions of their
-own instead of sharing one by buckets, as most records here have fewer shingles than a sketch has
-registers and would leave most buckets empty.) Registers are put together in bands; classes that agree
-in a band are candidates. The two lowest mantissa bits of all registers are kept as packed bits and
-give the Jaccard estimate, corrected for the bits that agree by chance; pairs whose estimate stays
-under the threshold by more than four standard deviations are dropped, all others are verified on their
-words.
+form one class and only one of them is sketched. A sketch has a compressed register of 16 bits per hash
+function: the count of leading zeros of the smallest hash and the mantissa bits after them. (The registers
+have hash functions of their own instead of sharing one by buckets, as most records here have fewer
+shingles than a sketch has registers and would leave most buckets empty.) Compressed registers are put
+together in bands; classes that agree in a band are candidates, each pair in the first band it shares. The
+registers of the two give the Jaccard estimate, corrected for registers that agree by chance, which depends
+on both sets' sizes; pairs whose estimate stays under the threshold by more than four standard deviations are
+dropped, all others are verified on their words.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.components import components
+from lectern.session import cut_lineage
 
-ROWS = 3
-BANDS = 28
-MANTISSA = 12
+#: Registers, and the bands of ROWS of them: ROUNDS times all registers are dealt out to bands anew.
+REGISTERS, ROWS, ROUNDS = 84, 3, 2
+BANDS = REGISTERS // ROWS * ROUNDS
+#: Bits of a compressed register: the leading zeros, 63 at most, and the mantissa.
+ZEROS, MANTISSA = 6, 10
 #: Distinct words and classes that a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 500_000
 #: Shingles that are hashed together, so that they stay in the processor's cache.
 _TOGETHER = 16_384
-#: Candidate pairs up to which the classes to verify are broadcast (16 bytes each) instead of shuffled.
-BROADCAST_PAIRS = 500_000
-_EVEN = 0x5555555555555555
+#: Band keys, and classes with their sketches (or table and id), up to which they are broadcast instead of shuffled: some 30 MB each.
+BROADCAST_KEYS, BROADCAST_SKETCHES = 1_000_000, 120_000
+#: Classes of one band key that ``groups`` compares pair by pair; larger keys go by way of their smallest class first.
+PAIRED = 16
+_LANES = 0x0001000100010001
 _NOT_ASCII = None
 
 
@@ -89,7 +93,7 @@ def shingle_hashes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, s
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """[records, count] uint32: leading zeros of the smallest hash, then MANTISSA bits."""
+    """[records, count] uint16: leading zeros of the smallest hash, then MANTISSA bits."""
     draws = np.random.default_rng(20240601)
     factors = draws.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1)
     shifts = draws.integers(0, 2**63, count, dtype=np.uint64)
@@ -104,45 +108,56 @@ def registers(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     top = np.uint64(1023 + 52)
     zeros = top - np.minimum(bits >> np.uint64(52), top)
     mantissa = (bits >> np.uint64(52 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)
-    return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint32).T
+    return ((np.minimum(zeros, np.uint64((1 << ZEROS) - 1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).T
 
 
-def band_keys(registered: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """[records, bands] int64; the band's number is part of its key."""
-    keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(registered), 1))
-    blocks = registered[:, : bands * rows].astype(np.uint64).reshape(len(registered), bands, rows)
-    for r in range(rows):
-        keys = _stir((keys ^ blocks[:, :, r]) * np.uint64(0xD6E8FEB86659FD93))
-    return keys.view(np.int64)
+def band_keys(sketch: Column, item_table: Column) -> Column:
+    """array<bigint> of the bands' keys; the band's number and the table are part of a key."""
+    random = np.random.default_rng(77)
+    places = np.concatenate([np.arange(REGISTERS), *(random.permutation(REGISTERS) for _ in range(ROUNDS - 1))]).reshape(-1, ROWS).tolist()
+    register = lambda i: F.shiftrightunsigned(sketch[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
+    return F.array(*(F.xxhash64(F.lit(j), item_table, *map(register, band)) for j, band in enumerate(places)))
 
 
-def packed_bits(registered: np.ndarray) -> np.ndarray:
-    """[records, longs] int64: the two lowest mantissa bits of each register, 32 registers a long."""
-    longs = -(-registered.shape[1] // 32)
-    low = np.zeros((len(registered), longs * 32), dtype=np.uint64)
-    low[:, : registered.shape[1]] = registered & 3
-    places = np.uint64(2) * np.arange(32, dtype=np.uint64)
-    return np.bitwise_or.reduce(low.reshape(len(registered), longs, 32) << places, axis=2).view(np.int64)
+def packed(registered: np.ndarray) -> np.ndarray:
+    """[records, REGISTERS / 4] int64: four registers a long."""
+    return np.ascontiguousarray(registered).view(np.int64)
 
 
-def most_different(threshold: float, count: int, deviations: float = 4.0) -> int:
-    """How many of the registers' two bits may differ for a pair to stay a candidate.
+def agree_by_chance(sizes: np.ndarray) -> np.ndarray:
+    """[sizes, sizes]: the probability that a register of two sets without a common member agrees.
 
-    Two bits agree with probability J, or by chance with a quarter of the rest; the corrected estimate
-    J = (agreeing / count - 1/4) / (3/4) may lie so many standard deviations under the threshold.
+    A register has a value when the smallest hash of its set lies in the value's interval, which for n
+    members has probability (1 - low)^n - (1 - high)^n; the sum goes over all values.
     """
-    p = threshold + (1 - threshold) / 4
-    return math.floor(count * (1 - p) + deviations * math.sqrt(count * p * (1 - p)))
+    zeros, mantissa = np.arange(1 << ZEROS)[:, None], np.arange(1 << MANTISSA)[None, :]
+    low = np.ldexp(1 + mantissa / (1 << MANTISSA), -zeros - 1)
+    high = np.ldexp(1 + (mantissa + 1) / (1 << MANTISSA), -zeros - 1)
+    survive = lambda x, n: np.exp(n * np.log1p(-np.minimum(x, 1 - 1e-16)))
+    each = np.stack([(survive(low, n) - survive(high, n)).ravel() for n in sizes])
+    return each @ each.T
 
 
-def sketches(records: DataFrame, size: int = 3, least: int = 15, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(item_table, id, class, keys array<bigint>, bits array<bigint>) of the records with enough words.
+def least_agreeing(threshold: float, deviations: float = 4.0) -> list[list[int]]:
+    """How many registers two sets of 2^i and 2^j shingles must share for the pair to stay a candidate.
 
-    A class is a hash of the table and the words in order, so equal texts share one. keys and bits come
-    with the first record of a class in a task and are null on the others: this pre-aggregation keeps
-    a large group of equal records from filling its bands again and again.
+    The corrected estimate of the similarity is (agreeing / REGISTERS - c) / (1 - c), c the chance of ``agree_by_chance``.
+    """
+    chance = agree_by_chance(2.0 ** np.arange(_SIZES))
+    p = threshold + (1 - threshold) * chance
+    return np.maximum(1, np.ceil(REGISTERS * p - deviations * np.sqrt(REGISTERS * p * (1 - p)))).astype(int).tolist()
+
+
+_SIZES = 24
+
+
+def sketches(records: DataFrame, size: int = 3, least: int = 15) -> DataFrame:
+    """(item_table, id, class, sketch array<bigint>) of the records with enough words.
+
+    A class is a hash of the table and the words in order, so equal texts share one. A sketch (the registers,
+    then the number of shingles) comes with the first record of a class in a task and is null on the others:
+    this pre-aggregation keeps a large group of equal records from filling its bands again and again.
     """
-    count = bands * rows
     source = records.select("item_table", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("item_table").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,27 +179,20 @@ def sketches(records: DataFrame, size: int = 3, least: int = 15, bands: int = BA
                     if own not in seen:
                         seen.add(own)
                         new.append(j)
-                keys: list = [None] * len(found)
-                bits: list = [None] * len(found)
+                made: list = [None] * len(found)
                 for some in _runs(new, coded):
                     lengths = np.array([len(coded[j]) for j in some])
                     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                    own = registers(*shingle_hashes(np.concatenate([coded[j] for j in some]), starts, lengths, size), count)
-                    apart = np.array([xxhash.xxh64_intdigest(found[j][0]) for j in some], dtype=np.uint64).view(np.int64)
-                    for j, k, b in zip(some, band_keys(own, bands, rows) ^ apart[:, None], packed_bits(own)):
-                        keys[j], bits[j] = k, b
+                    hashes, begins = shingle_hashes(np.concatenate([coded[j] for j in some]), starts, lengths, size)
+                    members = np.diff(np.append(begins, len(hashes)))
+                    for j, own in zip(some, np.column_stack([packed(registers(hashes, begins, REGISTERS)), members])):
+                        made[j] = own
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([t for t, _, _ in found]),
-                        pa.array([i for _, i, _ in found]),
-                        pa.array(np.array(classes, dtype=np.uint64).view(np.int64)),
-                        pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(bits, pa.list_(pa.int64())),
-                    ],
-                    names=["item_table", "id", "class", "keys", "bits"],
+                    [pa.array([t for t, _, _ in found]), pa.array([i for _, i, _ in found]), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(made, pa.list_(pa.int64()))],
+                    names=["item_table", "id", "class", "sketch"],
                 )
 
-    return source.mapInArrow(run, "item_table string, id string, class long, keys array<long>, bits array<long>")
+    return source.mapInArrow(run, "item_table string, id string, class long, sketch array<long>")
 
 
 def _runs(chosen: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
@@ -200,26 +208,77 @@ def _runs(chosen: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
         yield some
 
 
-def candidate_links(sketched: DataFrame, threshold: float) -> DataFrame:
-    """(class_a, class_b) of the pairs of classes that share a band and whose estimate may reach the
-    threshold, each pair once, class_a below class_b.
+def shared_keys(sketched: DataFrame) -> DataFrame:
+    """(key, class) of the keys that more than one sketch has.
 
-    A band's key and class are shuffled first; only keys under which different classes met go on to get
-    their bits and be paired, in a join on the key that Spark splits where a key is hot.
+    Keys are counted by an aggregate, so a hot key is one row a task before it is shuffled; only the rows of
+    the keys that are left meet them, by a broadcast where they were counted to be few.
     """
-    banded = sketched.where(F.col("keys").isNotNull()).select("class", F.explode("keys").alias("key"))
-    met = Window.partitionBy("key")
-    shared = banded.withColumns({"low": F.min("class").over(met), "high": F.max("class").over(met)}).where(F.col("low") < F.col("high"))
-    bits = sketched.where(F.col("bits").isNotNull()).groupBy("class").agg(F.min("bits").alias("bits"))
-    ready = shared.select("key", "class").distinct().join(bits, "class").persist(StorageLevel.MEMORY_AND_DISK)
-    other = ready.select("key", F.col("class").alias("class_b"), F.col("bits").alias("bits_b"))
-    longs = -(-BANDS * ROWS // 32)
-    differ = F.lit(0)
-    for k in range(longs):
-        x = F.col("bits")[k].bitwiseXOR(F.col("bits_b")[k])
-        differ = differ + F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(_EVEN)))
-    paired = ready.join(other, "key").where((F.col("class") < F.col("class_b")) & (differ <= most_different(threshold, BANDS * ROWS)))
-    return paired.select(F.col("class").alias("class_a"), "class_b").distinct()
+    banded = sketched.where(F.col("sketch").isNotNull()).select("class", F.explode(band_keys(F.col("sketch"), F.col("item_table"))).alias("key"))
+    often = cut_lineage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    return banded.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key")
+
+
+def may_be_similar(threshold: float) -> Column:
+    """Whether the estimate of two sketches, a and b, may reach the threshold."""
+    agree = F.lit(REGISTERS)
+    for k in range(REGISTERS // 4):
+        x = F.col("a")[k].bitwiseXOR(F.col("b")[k])
+        for shift in (8, 4, 2, 1):  # the lowest bit of each lane becomes the OR of the lane
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        agree = agree - F.bit_count(x.bitwiseAND(F.lit(_LANES)))
+    least = F.array(*(F.array(*map(F.lit, row)) for row in least_agreeing(threshold)))
+    rank = lambda n: F.least(F.lit(_SIZES - 1), F.round(F.log2(n)).cast("int"))
+    return agree >= least[rank(F.col("a")[REGISTERS // 4])][rank(F.col("b")[REGISTERS // 4])]
+
+
+class Records:
+    """Sketched records: (item_table, id, text) of a table of records, see ``links``."""
+
+    def __init__(self, records: DataFrame, size: int = 3, least: int = 15):
+        self.size = size
+        self.texts = records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("item_table", "id", "text")
+        self.sketched = sketches(records, size, least).persist(StorageLevel.MEMORY_AND_DISK)
+        self.membership = cut_lineage(self.sketched.select("item_table", "id", "class").distinct())
+        self.shared = shared_keys(self.sketched)
+
+    def estimated(self, pairs: DataFrame, threshold: float) -> DataFrame:
+        """Of ``pairs`` (class_a, class_b, class_a below class_b) those whose estimate may reach the threshold, each once."""
+        once = cut_lineage(pairs.distinct())
+        asked = once.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+        held = self.sketched.where(F.col("sketch").isNotNull()).select("class", "sketch").join(asked, "class", "left_semi")
+        held = held.groupBy("class").agg(F.first("sketch").alias("sketch"))
+        few = asked.count() <= BROADCAST_SKETCHES
+        side = lambda name: (F.broadcast if few else lambda x: x)(held.select(F.col("class").alias(f"class_{name}"), F.col("sketch").alias(name)))
+        return once.join(side("a"), "class_a").join(side("b"), "class_b").where(may_be_similar(threshold)).select("class_a", "class_b")
+
+    def verified(self, pairs: DataFrame, threshold: float) -> DataFrame:
+        """(class_a, class_b, similarity) of the estimated ``pairs`` whose similarity, taken over the words, reaches the threshold."""
+        candidates = cut_lineage(self.estimated(pairs, threshold))
+        asked = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+        few = asked.count() <= BROADCAST_SKETCHES
+        first = self.membership.join(F.broadcast(asked) if few else asked, "class", "left_semi").groupBy("class").agg(F.min(F.struct("item_table", "id")).alias("at"))
+        first = first.select("class", "at.item_table", "at.id")
+        bodies = self.texts.join(F.broadcast(first) if few else first, ["item_table", "id"]).groupBy("class").agg(F.min("text").alias("text"))
+        left = candidates.join(bodies.withColumnsRenamed({"class": "class_a", "text": "text_a"}), "class_a")
+        both = left.join(bodies.withColumnsRenamed({"class": "class_b", "text": "text_b"}), "class_b")
+        size = self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, text_a, text_b = (batch.column(i) for i in range(4))
+                similar = [jaccard(x, y, size) for x, y in zip(text_a.to_pylist(), text_b.to_pylist())]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(similar, pa.float64())], names=["class_a", "class_b", "similarity"])
+
+        checked = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(run, "class_a long, class_b long, similarity double")
+        return checked.where(F.col("similarity") >= threshold)
+
+
+def _pairs_of_keys(shared: DataFrame, apart: bool = False) -> DataFrame:
+    """(class_a, class_b) of the classes of a key, with ``apart`` only of those with different labels."""
+    other = shared.select("key", F.col("class").alias("class_b"), *([F.col("label").alias("label_b")] if apart else []))
+    met = shared.withColumnRenamed("class", "class_a").join(other, "key").where(F.col("class_a") < F.col("class_b"))
+    return (met.where(F.col("label") != F.col("label_b")) if apart else met).select("class_a", "class_b")
 
 
 def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -229,29 +288,41 @@ def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int
 
     ``records`` has (item_table, id, text). Null ids and texts, and texts of fewer than ``least`` words,
     take no part; a repeated id counts once by the texts it has. Records of different tables don't meet.
-    At similarity 0.6 a pair is missed with probability 0.001, at 0.65 with 0.0001. What is read twice
-    is persisted; it is recomputed should an executor be lost.
+    At similarity 0.6 a pair is missed with probability 0.00001. The sketches, read several times, are
+    persisted; they are recomputed should an executor be lost.
     """
-    sketched = sketches(records, size, least).persist(StorageLevel.MEMORY_AND_DISK)
-    membership = sketched.select("item_table", "id", "class").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    candidates = candidate_links(sketched, threshold).persist(StorageLevel.MEMORY_AND_DISK)
-    few = candidates.count() <= BROADCAST_PAIRS
-    asked = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    first = membership.join(F.broadcast(asked) if few else asked, "class", "left_semi").groupBy("class").agg(F.min(F.struct("item_table", "id")).alias("at"))
-    first = first.select("class", "at.item_table", "at.id")
-    texts = records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("item_table", "id", "text")
-    bodies = texts.join(F.broadcast(first) if few else first, ["item_table", "id"]).groupBy("class").agg(F.min("text").alias("text"))
-    left = candidates.join(bodies.withColumnsRenamed({"class": "class_a", "text": "text_a"}), "class_a")
-    both = left.join(bodies.withColumnsRenamed({"class": "class_b", "text": "text_b"}), "class_b")
+    held = Records(records, size, least)
+    linked = cut_lineage(held.verified(_pairs_of_keys(held.shared), threshold))
+    held.sketched.unpersist()
+    return held.membership, linked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, text_a, text_b = (batch.column(i) for i in range(4))
-            similar = [jaccard(x, y, size) for x, y in zip(text_a.to_pylist(), text_b.to_pylist())]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(similar, pa.float64())], names=["class_a", "class_b", "similarity"])
 
-    checked = both.select("class_a", "class_b", "text_a", "text_b").mapInArrow(run, "class_a long, class_b long, similarity double")
-    return membership, checked.where(F.col("similarity") >= threshold)
+def groups(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int = 15, paired: int = PAIRED) -> DataFrame:
+    """(item_table, id, class, group_id): each record once with its class and the smallest class that can be
+    reached over links (see ``links``), without going through all pairs of a large group.
+
+    Classes of a key with ``paired`` classes at most are compared pair by pair, those of a larger one with
+    its smallest class. Connected components of what is linked then give labels, and only classes of a large
+    key whose labels still differ are compared with each other, so no link between texts is lost.
+    """
+    held = Records(records, size, least)
+    shared = cut_lineage(held.shared.distinct())
+    ends = shared.groupBy("key").agg(F.min("class").alias("low"), F.count(F.lit(1)).alias("n"))
+    small, large = ends.where((F.col("n") > 1) & (F.col("n") <= paired)).select("key"), ends.where(F.col("n") > paired)
+    star = shared.join(large, "key").where(F.col("class") > F.col("low")).select(F.col("low").alias("class_a"), F.col("class").alias("class_b"))
+    edge = lambda linked: cut_lineage(linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    edges = edge(held.verified(_pairs_of_keys(shared.join(small, "key", "left_semi")).union(star), threshold))
+    labels = components(edges)
+    rest = shared.join(large.select("key"), "key", "left_semi").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    split = rest.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
+    rest = cut_lineage(rest.join(split, "key", "left_semi"))
+    if not rest.isEmpty():
+        later = edge(held.verified(_pairs_of_keys(rest, apart=True), threshold))
+        if not later.isEmpty():
+            labels = components(edges.union(later))
+    held.sketched.unpersist()
+    named = held.membership.join(labels.withColumnRenamed("node", "class"), "class", "left")
+    return named.select("item_table", "id", "class", F.coalesce("label", "class").alias("group_id"))
 
 
 def jaccard(a: str, b: str, size: int = 3) -> float:
@@ -273,18 +344,3 @@ def pairs(membership: DataFrame, linked: DataFrame) -> DataFrame:
     met = same.join(a.withColumnRenamed("class", "class_a"), "class_a").join(b.withColumnRenamed("class", "class_b"), "class_b")
     met = met.where((F.col("id_a") < F.col("id_b")) | ((F.col("class_a") != F.col("class_b")) & (F.col("id_a") != F.col("id_b"))))
     return met.select("item_table", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-
-
-def groups(membership: DataFrame, linked: DataFrame, rounds: int = 30) -> DataFrame:
-    """(item_table, id, class, n_links, group_id): each record once, with the number of classes that its
-    own is linked to, and the smallest class that can be reached over links (its connected component).
-    The links stay distributed throughout.
-    """
-    edges = linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    labels = components(edges, rounds).withColumnRenamed("node", "class")
-    degree = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        membership.join(labels, "class", "left")
-        .join(degree, "class", "left")
-        .select("item_table", "id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "class").alias("group_id"))
-    )

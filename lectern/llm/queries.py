@@ -64,8 +64,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    membership, linked = neardup.links(_p5_records(spark, folder))
-    return neardup.groups(membership, cut_lineage(linked))
+    return neardup.groups(_p5_records(spark, folder))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.llm import boilerplate, neardup
@@ -132,12 +133,70 @@ def test_groups_without_pairs_of_copies(spark):
     text = " ".join(f"word{i}" for i in range(30))
     rows = [("chunks", f"c{i}", text) for i in range(50)] + [("chunks", "near", text + " more"), ("chunks", "far", " ".join(f"other{i}" for i in range(30)))]
     membership, linked = neardup.links(records(spark, rows))
-    out = {r.id: r for r in neardup.groups(membership, linked).collect()}
+    out = {r.id: r for r in neardup.groups(records(spark, rows)).collect()}
     assert len(out) == 52 and linked.count() == 1
     assert out["c0"].group_id == out["near"].group_id == out["c49"].group_id != out["far"].group_id
     assert neardup.pairs(membership, linked).count() == 50 * 49 // 2 + 50
 
 
 def test_empty_records(spark):
-    membership, linked = neardup.links(records(spark, [("chunks", "a", "x")]))
-    assert membership.count() == 0 and neardup.pairs(membership, linked).count() == 0 and neardup.groups(membership, linked).count() == 0
+    made = records(spark, [("chunks", "a", "x")])
+    membership, linked = neardup.links(made)
+    assert membership.count() == 0 and neardup.pairs(membership, linked).count() == 0 and neardup.groups(made).count() == 0
+
+
+def parted(rows):
+    """The sets of ids that hang together over pairs or copies, by brute force."""
+    of = {(t, i): (t, i) for t, i, x in rows if len(neardup.words(x)) >= 15}
+
+    def top(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for t, a, b in brute(rows, 0.6):
+        of[top((t, a))] = top((t, b))
+    out = {}
+    for x in of:
+        out.setdefault(top(x), set()).add(x)
+    return sorted(map(sorted, out.values()))
+
+
+def test_groups_equal_the_components_of_all_pairs(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = []
+    for family in range(6):  # chains of edits: the ends of a family are no pair
+        words = rng.choices(vocabulary, k=40)
+        for i in range(25):
+            words = list(words)
+            words[rng.randrange(40)] = rng.choice(vocabulary)
+            rows.append(("chunks", f"f{family}-{i:02}", " ".join(words)))
+    for paired in (2, 16):
+        out = {}
+        for r in neardup.groups(records(spark, rows), paired=paired).collect():
+            out.setdefault(r.group_id, set()).add((r.item_table, r.id))
+        assert sorted(map(sorted, out.values())) == parted(rows)
+
+
+def test_thousands_of_edited_copies_of_one_text(spark):
+    words = [f"word{i}" for i in range(60)]
+    rows = [("chunks", f"c{i:04}", " ".join([*words[: i % 55], f"edit{i}", *words[i % 55 + 1 :]])) for i in range(5000)]
+    out = neardup.groups(records(spark, rows)).collect()
+    assert len(out) == 5000 and len({r["class"] for r in out}) == 5000 and len({r.group_id for r in out}) == 1
+
+
+def test_chance_agreement_is_corrected():
+    random_ = np.random.default_rng(4)
+    for n, m, common in ((20, 20, 0), (500, 60, 30), (200, 200, 150)):
+        agreeing = []
+        for _ in range(200):
+            hashes = random_.integers(0, 2**63, n + m - common, dtype=np.uint64) * np.uint64(2) + random_.integers(0, 2, n + m - common, dtype=np.uint64)
+            both = np.concatenate([hashes[:n], hashes[n - common :]])
+            a, b = neardup.registers(both, np.array([0, n]), neardup.REGISTERS)
+            agreeing.append((a == b).mean())
+        chance = neardup.agree_by_chance(np.array([float(n), float(m)]))[0, 1]
+        assert 0 < chance < 0.01
+        assert abs((np.mean(agreeing) - chance) / (1 - chance) - common / (n + m - common)) < 0.02
+    least = neardup.least_agreeing(0.6)
+    assert all(20 < x < neardup.REGISTERS for row in least for x in row)
