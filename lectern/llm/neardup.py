@@ -5,10 +5,11 @@ form one class and only one of them is sketched. A sketch has a compressed regis
 function: the count of leading zeros of the smallest hash and the mantissa bits after them. (The registers
 have hash functions of their own instead of sharing one by buckets, as most records here have fewer
 shingles than a sketch has registers and would leave most buckets empty.) Compressed registers are put
-together in bands; classes that agree in a band are candidates, each pair in the first band it shares. The
-registers of the two give the Jaccard estimate, corrected for registers that agree by chance, which depends
-on both sets' sizes; pairs whose estimate stays under the threshold by more than four standard deviations are
-dropped, all others are verified on their words.
+together in bands; classes that agree in a band are candidates. The registers of the two give the Jaccard
+estimate, corrected for registers that agree by chance, which depends on both sets' sizes; pairs whose
+estimate stays under the threshold by more than four standard deviations are dropped, all others are verified
+on their words. As a pair may share many bands, the two lowest bits of all registers travel with the keys and
+drop, by the same rule, most unlike pairs where they meet, before pairs are shuffled to be made distinct.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from lectern.operators.components import components
 from lectern.session import cut_lineage
 
-#: Registers, and the bands of ROWS of them: ROUNDS times all registers are dealt out to bands anew.
-REGISTERS, ROWS, ROUNDS = 84, 3, 2
-BANDS = REGISTERS // ROWS * ROUNDS
+#: Registers, and the bands of ROWS of them; registers are dealt out to the bands, and again when all are used.
+REGISTERS, ROWS, BANDS = 84, 3, 42
 #: Bits of a compressed register: the leading zeros, 63 at most, and the mantissa.
 ZEROS, MANTISSA = 6, 10
 #: Distinct words and classes that a worker remembers; beyond it the memory is emptied.
@@ -38,7 +38,7 @@ _TOGETHER = 16_384
 BROADCAST_KEYS, BROADCAST_SKETCHES = 1_000_000, 120_000
 #: Classes of one band key that ``groups`` compares pair by pair; larger keys go by way of their smallest class first.
 PAIRED = 16
-_LANES = 0x0001000100010001
+_LANES, _EVEN = 0x0001000100010001, 0x5555555555555555
 _NOT_ASCII = None
 
 
@@ -111,12 +111,25 @@ def registers(hashes: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     return ((np.minimum(zeros, np.uint64((1 << ZEROS) - 1)) << np.uint64(MANTISSA)) | mantissa).astype(np.uint16).T
 
 
-def band_keys(sketch: Column, item_table: Column) -> Column:
-    """array<bigint> of the bands' keys; the band's number and the table are part of a key."""
+def band_keys(registered: np.ndarray) -> np.ndarray:
+    """[records, BANDS] int64; the band's number is part of its key."""
     random = np.random.default_rng(77)
-    places = np.concatenate([np.arange(REGISTERS), *(random.permutation(REGISTERS) for _ in range(ROUNDS - 1))]).reshape(-1, ROWS).tolist()
-    register = lambda i: F.shiftrightunsigned(sketch[i // 4], 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF))
-    return F.array(*(F.xxhash64(F.lit(j), item_table, *map(register, band)) for j, band in enumerate(places)))
+    rounds = -(-BANDS * ROWS // REGISTERS)
+    places = np.concatenate([np.arange(REGISTERS), *(random.permutation(REGISTERS) for _ in range(rounds - 1))])[: BANDS * ROWS].reshape(BANDS, ROWS)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(registered), 1))
+    blocks = registered.astype(np.uint64)[:, places]
+    for r in range(ROWS):
+        keys = _stir((keys ^ blocks[:, :, r]) * np.uint64(0xD6E8FEB86659FD93))
+    return keys.view(np.int64)
+
+
+def low_bits(registered: np.ndarray) -> np.ndarray:
+    """[records, longs] int64: the two lowest bits of each register, 32 registers a long."""
+    longs = -(-registered.shape[1] // 32)
+    low = np.zeros((len(registered), longs * 32), dtype=np.uint64)
+    low[:, : registered.shape[1]] = registered & 3
+    places = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    return np.bitwise_or.reduce(low.reshape(len(registered), longs, 32) << places, axis=2).view(np.int64)
 
 
 def packed(registered: np.ndarray) -> np.ndarray:
@@ -152,11 +165,12 @@ _SIZES = 24
 
 
 def sketches(records: DataFrame, size: int = 3, least: int = 15) -> DataFrame:
-    """(item_table, id, class, sketch array<bigint>) of the records with enough words.
+    """(item_table, id, class, keys array<bigint>, bits array<bigint>, sketch array<bigint>) of the records with enough words.
 
-    A class is a hash of the table and the words in order, so equal texts share one. A sketch (the registers,
-    then the number of shingles) comes with the first record of a class in a task and is null on the others:
-    this pre-aggregation keeps a large group of equal records from filling its bands again and again.
+    A class is a hash of the table and the words in order, so equal texts share one. keys (of the bands), bits
+    (``low_bits``) and sketch (the registers, then the number of shingles) come with the first record of a
+    class in a task and are null on the others: this pre-aggregation keeps a large group of equal records from
+    filling its bands again and again.
     """
     source = records.select("item_table", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("item_table").isNotNull())
 
@@ -179,20 +193,23 @@ def sketches(records: DataFrame, size: int = 3, least: int = 15) -> DataFrame:
                     if own not in seen:
                         seen.add(own)
                         new.append(j)
-                made: list = [None] * len(found)
+                made: list[list] = [[None] * len(found) for _ in range(3)]
                 for some in _runs(new, coded):
                     lengths = np.array([len(coded[j]) for j in some])
                     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
                     hashes, begins = shingle_hashes(np.concatenate([coded[j] for j in some]), starts, lengths, size)
+                    own = registers(hashes, begins, REGISTERS)
+                    apart = np.array([xxhash.xxh64_intdigest(found[j][0]) for j in some], dtype=np.uint64).view(np.int64)
                     members = np.diff(np.append(begins, len(hashes)))
-                    for j, own in zip(some, np.column_stack([packed(registers(hashes, begins, REGISTERS)), members])):
-                        made[j] = own
+                    for column, values in zip(made, (band_keys(own) ^ apart[:, None], low_bits(own), np.column_stack([packed(own), members]))):
+                        for j, value in zip(some, values):
+                            column[j] = value
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _, _ in found]), pa.array([i for _, i, _ in found]), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), pa.array(made, pa.list_(pa.int64()))],
-                    names=["item_table", "id", "class", "sketch"],
+                    [pa.array([t for t, _, _ in found]), pa.array([i for _, i, _ in found]), pa.array(np.array(classes, dtype=np.uint64).view(np.int64)), *(pa.array(m, pa.list_(pa.int64())) for m in made)],
+                    names=["item_table", "id", "class", "keys", "bits", "sketch"],
                 )
 
-    return source.mapInArrow(run, "item_table string, id string, class long, sketch array<long>")
+    return source.mapInArrow(run, "item_table string, id string, class long, keys array<long>, bits array<long>, sketch array<long>")
 
 
 def _runs(chosen: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
@@ -208,17 +225,36 @@ def _runs(chosen: list[int], coded: list[np.ndarray]) -> Iterator[list[int]]:
         yield some
 
 
+_BITS = [f"bits_{k}" for k in range(-(-REGISTERS // 32))]
+
+
 def shared_keys(sketched: DataFrame) -> DataFrame:
-    """(key, class) of the keys that more than one sketch has.
+    """(key, class, bits_0, ...) of the keys that more than one sketch has.
 
     Keys are counted by an aggregate, so a hot key is one row a task before it is shuffled; only the rows of
     the keys that are left meet them, by a broadcast where they were counted to be few.
     """
-    banded = sketched.where(F.col("sketch").isNotNull()).select("class", F.explode(band_keys(F.col("sketch"), F.col("item_table"))).alias("key"))
-    often = cut_lineage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    full = sketched.where(F.col("keys").isNotNull())
+    often = cut_lineage(full.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    banded = full.select("class", *(F.col("bits")[k].alias(b) for k, b in enumerate(_BITS)), F.explode("keys").alias("key"))
     return banded.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key")
 
 
+def most_different(threshold: float, deviations: float = 4.0) -> int:
+    """In how many of the registers' two lowest bits a pair may differ; by chance they agree with a quarter."""
+    p = threshold + (1 - threshold) / 4
+    return int(np.floor(REGISTERS * (1 - p) + deviations * np.sqrt(REGISTERS * p * (1 - p))))
+
+
+def bits_differ() -> Column:
+    """In how many registers the two lowest bits of a pair differ."""
+    differ = F.lit(0)
+    for b in _BITS:
+        x = F.col(b).bitwiseXOR(F.col(f"{b}_b"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_EVEN)))
+    return differ
+
+
 def may_be_similar(threshold: float) -> Column:
     """Whether the estimate of two sketches, a and b, may reach the threshold."""
     agree = F.lit(REGISTERS)
@@ -274,11 +310,14 @@ class Records:
         return checked.where(F.col("similarity") >= threshold)
 
 
-def _pairs_of_keys(shared: DataFrame, apart: bool = False) -> DataFrame:
-    """(class_a, class_b) of the classes of a key, with ``apart`` only of those with different labels."""
-    other = shared.select("key", F.col("class").alias("class_b"), *([F.col("label").alias("label_b")] if apart else []))
-    met = shared.withColumnRenamed("class", "class_a").join(other, "key").where(F.col("class_a") < F.col("class_b"))
-    return (met.where(F.col("label") != F.col("label_b")) if apart else met).select("class_a", "class_b")
+def _pairs_of_keys(shared: DataFrame, threshold: float, apart: bool = False) -> DataFrame:
+    """(class_a, class_b) of the classes of a key whose lowest bits may be those of similar sets, with ``apart``
+    only of those with different labels."""
+    more = ["label"] if apart else []
+    other = shared.select("key", *(F.col(c).alias(f"{c}_b") for c in ("class", *_BITS, *more)))
+    alike = (F.col("class") < F.col("class_b")) & (bits_differ() <= most_different(threshold))
+    met = shared.join(other, "key").where(alike & (F.col("label") != F.col("label_b")) if apart else alike)
+    return met.select(F.col("class").alias("class_a"), "class_b")
 
 
 def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int = 15) -> tuple[DataFrame, DataFrame]:
@@ -288,11 +327,11 @@ def links(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int
 
     ``records`` has (item_table, id, text). Null ids and texts, and texts of fewer than ``least`` words,
     take no part; a repeated id counts once by the texts it has. Records of different tables don't meet.
-    At similarity 0.6 a pair is missed with probability 0.00001. The sketches, read several times, are
+    At similarity 0.6 a pair is missed with probability 0.0002. The sketches, read several times, are
     persisted; they are recomputed should an executor be lost.
     """
     held = Records(records, size, least)
-    linked = cut_lineage(held.verified(_pairs_of_keys(held.shared), threshold))
+    linked = cut_lineage(held.verified(_pairs_of_keys(held.shared, threshold), threshold))
     held.sketched.unpersist()
     return held.membership, linked
 
@@ -311,13 +350,13 @@ def groups(records: DataFrame, threshold: float = 0.6, size: int = 3, least: int
     small, large = ends.where((F.col("n") > 1) & (F.col("n") <= paired)).select("key"), ends.where(F.col("n") > paired)
     star = shared.join(large, "key").where(F.col("class") > F.col("low")).select(F.col("low").alias("class_a"), F.col("class").alias("class_b"))
     edge = lambda linked: cut_lineage(linked.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    edges = edge(held.verified(_pairs_of_keys(shared.join(small, "key", "left_semi")).union(star), threshold))
+    edges = edge(held.verified(_pairs_of_keys(shared.join(small, "key", "left_semi"), threshold).union(star), threshold))
     labels = components(edges)
-    rest = shared.join(large.select("key"), "key", "left_semi").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    rest = shared.join(large.select("key"), "key", "left_semi").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", *_BITS, F.coalesce("label", "class").alias("label"))
     split = rest.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("key")
     rest = cut_lineage(rest.join(split, "key", "left_semi"))
     if not rest.isEmpty():
-        later = edge(held.verified(_pairs_of_keys(rest, apart=True), threshold))
+        later = edge(held.verified(_pairs_of_keys(rest, threshold, apart=True), threshold))
         if not later.isEmpty():
             labels = components(edges.union(later))
     held.sketched.unpersist()
