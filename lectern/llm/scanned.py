@@ -11,7 +11,8 @@ characters are cheap ranks them, and the count of the pair with the word before
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -42,19 +43,28 @@ for _read, _printed in CONFUSIONS:
     _BY_READ.setdefault(_read, []).append(_printed)
 
 _DIGIT_FOR = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "|": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "q": "9", "b": "6"})
-_NUMBER_LINE = re.compile(r"^[\W_]*(?:(?:p[a-z@]{0,5}|s[a-z]{0,5})\.?[\W_]*)?([0-9OoIlSsBZzgqb|]{1,7}|[ivxlcIVXLC1]{1,8})(?:[\W_]*(?:of|0f|/|von|de|sur|out of)[\W_]*[0-9OoIlSsBZzgqb|]{1,7})?[\W_]*$", re.I)
-_ROMAN = (("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
+_NUMBER_LINE = re.compile(r"^[\W_]*(?:(?:p[a-z@]{0,5}|s[a-z]{0,5})\.?[\W_]*)?([0-9OoIlSsBZzgqb|]{1,7}|[ivxlcdmIVXLCDM1]{1,15})(?:[\W_]*(?:of|0f|/|von|de|sur|out of)[\W_]*[0-9OoIlSsBZzgqb|]{1,7})?[\W_]*$", re.I)
+_ROMAN = (("m", 1000), ("cm", 900), ("d", 500), ("cd", 400), ("c", 100), ("xc", 90), ("l", 50), ("xl", 40), ("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 _CORE = re.compile(r"^[\"'“”‘’«»\[{<*•–—-]*(.*?)[\"'“”‘’«»\]}>.,;:!?…*–—]*$", re.S)
 _FOLD = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "8": "b", "6": "b", "9": "g", "q": "g", "@": "a", "(": "c", "e": "c", "f": "t", "v": "y"})
 
 
+_NUMERIC = re.compile(r"[\W_]*[\dolis]*[\W_]*").fullmatch
+_DIGITS_ALONE = re.compile(r"(?<![^\W_])\d+(?![^\W_])").sub
+_PIECES = re.compile(r"[^\W\d_]+|[^\s\w]").findall
+#: Words and pairs of words up to which they are broadcast (some 30 MB) instead of shuffled.
+BROADCAST_WORDS = 300_000
+#: Words that a task counts before it gives its counts away.
+_HELD = 500_000
+
+
 def roman(n: int) -> str:
-    """Lower-case Roman numeral; tens only up to 89, which is as far as front matter goes."""
-    if not 0 < n < 90:
-        return ""
-    out, tens = "", n // 10
-    out = "l" * (tens >= 5) + ("xl" if tens == 4 else "x" * (tens - 5 * (tens >= 5)))
-    return out + ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")[n % 10]
+    """Lower-case Roman numeral; empty where there is none."""
+    out = ""
+    for sign, worth in _ROMAN if n < 4000 else ():
+        while n >= worth:
+            out, n = out + sign, n - worth
+    return out
 
 
 def is_page_number(line: str, page: int) -> bool:
@@ -80,8 +90,8 @@ def core(token: str) -> str:
 
 def form(line: str) -> str:
     """What stays the same of a header from page to page: its letters, confusable ones made equal."""
-    kept = [t for t in line.lower().split() if not re.fullmatch(r"[\W_]*[\dolis]*[\W_]*", t)]
-    folded = "".join(ch for ch in "".join(kept).translate(_FOLD) if ch.isalpha())
+    kept = [t for t in line.lower().split() if not _NUMERIC(t)]
+    folded = "".join(filter(str.isalpha, "".join(kept).translate(_FOLD)))
     for read, printed in (("rn", "m"), ("cl", "d"), ("ll", "u"), ("rl", "n"), ("yy", "w")):
         folded = folded.replace(read, printed)
     return folded
@@ -93,8 +103,7 @@ def header_pairs(line: str) -> list[str]:
     Confusable characters are made equal, so that a misread header still has its anchors; numbers at
     either end are the page's. Further in stands the document's title, which is no sign of a header.
     """
-    plain = re.sub(r"(?<![^\W_])\d+(?![^\W_])", "#", line.lower()).translate(_FOLD)
-    pieces = re.findall(r"[^\W\d_]+|[^\s\w]", plain)
+    pieces = _PIECES(_DIGITS_ALONE("#", line.lower()).translate(_FOLD))
     pieces = pieces[pieces[:1] == ["#"] :]
     pieces = pieces[: len(pieces) - (pieces[-1:] == ["#"])]
     at = sorted({0, 1, len(pieces) - 2} & set(range(len(pieces) - 1)))
@@ -171,19 +180,49 @@ def pages_once(pages: DataFrame) -> DataFrame:
     return kept.groupBy("document_id", "page").agg(F.min("text").alias("text"), F.max("used_ocr").alias("scanned"))
 
 
-def _split_words() -> Column:
-    """The lower-cased words of the column text, without blanks and the punctuation around words."""
-    return F.split(F.lower("text"), r"[\s\"“”«»()\[\]{}<>.,;:!?…*•]+")
+_BETWEEN = re.compile(r"[\s\"“”«»()\[\]{}<>.,;:!?…*•]+")
+
+
+def split_words(text: str) -> list[str]:
+    """The lower-cased words, without blanks and the punctuation around words."""
+    return _BETWEEN.split(text.lower())
+
+
+def _counted(texts: DataFrame, count: Callable[[Counter, str], None], schema: str, names: list[str]) -> DataFrame:
+    """What ``count`` adds up over the one column of ``texts``, a key being a tuple or string; counts leave a task summed up."""
+    kinds = [pa.string()] * (len(names) - 1) + [pa.int64()]
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        keys = list(zip(*((k if isinstance(k, tuple) else (k,)) for k in held))) or [()] * (len(names) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, held.values()], kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                count(held, text)
+            if len(held) > _HELD:
+                yield rows(held)
+                held = Counter()
+        yield rows(held)
+
+    return texts.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
 
 
 def lexicon(pages: DataFrame) -> DataFrame:
-    """(word, clean): how often each word stands on pages that weren't scanned, all pages counted.
+    """(word, clean): how often each word stands on pages that weren't scanned, all pages counted."""
 
-    Words are split in the JVM, with one pass over the text, and counted per task first.
-    """
-    whole = ~F.substring("word", -1, 1).isin(*MARKS)  # not the first part of a word cut by the line's end
-    words = pages.where(~F.col("scanned")).select(F.explode(_split_words()).alias("word")).where(whole & (F.col("word") != ""))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
+    def count(held: Counter, text: str) -> None:
+        held.update(split_words(text))
+
+    words = _counted(pages.where(~F.col("scanned")).select("text"), count, "word string, clean long", ["word", "clean"])
+    # not the first part of a word cut by the line's end
+    return words.where(~F.substring("word", -1, 1).isin(*MARKS) & (F.col("word") != ""))
+
+
+def few(rows: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
+    """``rows`` to be broadcast where they were counted to be few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _tokens(scanned: DataFrame, following: DataFrame) -> DataFrame:
@@ -414,9 +453,12 @@ class Scanned:
         over = F.coalesce("footer", F.lit(False)) | F.col("tail_line").isNull()
         rows = rows.withColumn("both_upper", F.col("both_upper") & ~over).withColumn("tail", F.when(over, F.col("next_tail")).otherwise(F.col("tail")))
         rows = rows.select("document_id", "page", "line_no", "head", "tail", "mark", "both_upper", over.alias("over_page")).withColumns({"joined": F.concat("head", "tail"), "compound": F.concat_ws("-", "head", "tail")})
-        count = lambda key, name: self.words.select(F.col("word").alias(key), F.col("clean").alias(name))
-        for key in ("joined", "compound", "head", "tail"):
-            rows = rows.join(count(key, f"n_{key}"), key, "left").fillna(0, [f"n_{key}"])
+        rows = cut_lineage(rows)
+        keys = ("joined", "compound", "head", "tail")
+        asked = rows.select(F.explode(F.array(*keys)).alias("word")).where(F.col("word").isNotNull()).distinct()
+        counts = few(cut_lineage(self.words.join(asked, "word", "left_semi")))
+        for key in keys:
+            rows = rows.join(counts.select(F.col("word").alias(key), F.col("clean").alias(f"n_{key}")), key, "left").fillna(0, [f"n_{key}"])
         parts = F.split("word", "-")
         begun = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "-")))
         heads = self.words.where(F.col("word").contains("-") & (F.col("clean") >= KNOWN) & (F.char_length("word") <= 2 * LONGEST)).select(begun.alias("head")).distinct()
@@ -433,12 +475,12 @@ class Scanned:
     def misread_words(self) -> DataFrame:
         """(document_id, page, line_no, place, word, repair) of misread words outside headers and page
         numbers; repair is null where only the word's shape tells, as for a name met nowhere else."""
-        body = self.lines.where(~F.col("number")).join(self.headers, ["document_id", "page", "line_no"], "left_anti")
-        tokens = body.select("document_id", "page", "line_no", F.posexplode("words").alias("place", "word"), F.col("words"))
-        tokens = tokens.withColumn("before", F.when(F.col("place") > 0, F.try_element_at("words", F.col("place")))).drop("words")
+        tokens = self.lines.where(~F.col("number")).select("document_id", "page", "line_no", F.posexplode("words").alias("place", "word"), F.col("words"))
         odd = tokens.where(~F.col("word").rlike(r"^[\d.,:%/+−–°-]+$") & F.col("word").rlike(r"\p{L}|@|\("))
-        odd = cut_lineage(odd.join(self.words.where(F.col("clean") >= KNOWN).select("word"), "word", "left_anti"))
-        unknown = odd.select("word").distinct()
+        # the distinct words meet the lexicon; the rows of those it lacks, few as they are, lose those of headers
+        unknown = cut_lineage(odd.select("word").distinct().join(self.words.where(F.col("clean") >= KNOWN).select("word"), "word", "left_anti"))
+        odd = odd.join(few(unknown), "word").withColumn("before", F.when(F.col("place") > 0, F.try_element_at("words", F.col("place")))).drop("words")
+        odd = cut_lineage(odd.join(self.headers, ["document_id", "page", "line_no"], "left_anti"))
         # a bracket or sign that only stands beside a known word is no misreading
         bare = unknown.withColumn("bare", F.regexp_replace("word", r"^[(@]+|[()]+$", ""))
         bare = bare.withColumn("parts", F.split("bare", r"[.(){}\[\]/_=:,;]+|[-–—]{1,2}")).select("word", F.explode("parts").alias("part")).where(F.col("part") != "")
@@ -459,10 +501,19 @@ class Scanned:
 
     def _pair_counts(self, asked: DataFrame) -> DataFrame:
         """(before, repair, n): how often the asked pairs stand on clean pages."""
-        words = F.filter(_split_words(), lambda t: t != "")
-        listed = self.pages.where(~F.col("scanned")).select(words.alias("words")).where(F.size("words") > 1)
-        pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.col("words")[i - 1].alias("before"), F.col("words")[i].alias("repair"))))
-        return listed.select(pair.alias("p")).select("p.*").groupBy("before", "repair").agg(F.count(F.lit(1)).alias("n")).join(asked, ["before", "repair"], "left_semi")
+        asked = cut_lineage(asked)
+        texts = self.pages.where(~F.col("scanned")).select("text")
+        chosen = None
+        if asked.count() <= BROADCAST_WORDS:
+            chosen = texts.sparkSession.sparkContext.broadcast({(r["before"], r["repair"]) for r in asked.toLocalIterator()})
+
+        def count(held: Counter, text: str) -> None:
+            words = list(filter(None, split_words(text)))
+            pairs = zip(words, words[1:])
+            held.update(pairs if chosen is None else filter(chosen.value.__contains__, pairs))
+
+        counts = _counted(texts, count, "before string, repair string, n long", ["before", "repair", "n"])
+        return counts if chosen is not None else counts.join(asked, ["before", "repair"], "left_semi")
 
     def paragraphs(self) -> DataFrame:
         """(document_id, page, text, n_dropped, n_repaired, n_joined) of the scanned pages: headers, footers
