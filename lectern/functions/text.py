@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no topic in a question.
-STOPWORDS = "a about an and any are as at be by can define describe discuss do does explain find for from give given has have how if in into is it its list name of on or state than that the their them there these this to use using what when where which who why will with write".split()
+# Words of a question that are not searched for.
+QUERY_STOPWORDS = "a an the is are was were what which who how why when where give explain describe define between with and or for of in to from using according over decades example examples".split()
+# Words that no keyphrase holds.
+PHRASE_STOPWORDS = """a an the and or but if then else when at by for with about against between into through during before after
+above below to from up down in out on off over under again further once here there all each few more most other some such no
+nor not only own same so than too very can will just don should now what which who whom this that these those am is are was
+were be been being have has had do does did doing would could ought i you he she it we they me him her us them my your his
+its our their of any five following each explain define describe compute state list give write name discuss differentiate between""".split()
+# Phrases of questions that ask for wording more than for meaning.
+LEXICAL_MARKERS = ("define", "what is", "what are", "difference between", "explain", "lexeme", "token", "grammar", "ambiguous", "short-circuit", "referential transparency", "lisp", "evaluation criteria")
 
 
 def words(text: Column) -> Column:
@@ -25,14 +35,31 @@ def normalise(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and digits of any script, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def focus_terms(text: Column, anchors: Sequence[str] = (), most: int = 8) -> Column:
+    """Distinct words of a question (a letter and two more characters at least) that aren't stopwords, in
+    order, ``most`` at most; of the ``anchors`` those that the question holds come first, the last of them foremost."""
+    lowered = F.lower(text)
+    found = F.regexp_extract_all(lowered, F.lit(r"[a-z][a-z0-9-]{2,}"), F.lit(0))
+    kept = F.array_distinct(F.filter(found, lambda t: ~t.isin(QUERY_STOPWORDS)))
+    if anchors:
+        first = F.filter(F.array(*map(F.lit, reversed(anchors))), lambda a: F.contains(lowered, a) & ~F.array_contains(kept, a))
+        kept = F.concat(first, kept)
+    return F.slice(kept, 1, most)
+
+
+def query_terms(words: Column, least: int = 1) -> Column:
+    """The words without signs, those of three characters at least; none when there are fewer than ``least``."""
+    cleaned = F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z0-9]", ""))), lambda w: F.length(w) >= 3))
+    return F.when(F.size(cleaned) >= least, cleaned).otherwise(F.array().cast("array<string>"))
 
 
-def focus_terms(text: Column, most: int = 8, least_length: int = 3) -> Column:
-    """Distinct terms without stopwords and short ones, in order, ``most`` at most."""
-    kept = F.filter(terms(text), lambda t: (F.length(t) >= least_length) & ~t.isin(STOPWORDS))
-    return F.slice(F.array_distinct(kept), 1, most)
+def is_lexical_heavy(text: Column, markers: Sequence[str] = LEXICAL_MARKERS) -> Column:
+    """Whether the question holds one of the markers."""
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower(text), m)) if markers else F.lit(False)
 
 
 def snippet(text: Column, longest: int = 160) -> Column:

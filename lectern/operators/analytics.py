@@ -161,6 +161,47 @@ def year_unit_matrix(questions: DataFrame, units: list[str]) -> DataFrame:
     return rows.groupBy("year").pivot("unit", units).agg(F.count(F.lit(1))).fillna(0, units)
 
 
+# Units that are none.
+NO_UNITS = ("unmapped", "unclassified")
+
+
+def unit_features(questions: DataFrame) -> DataFrame:
+    """(scope, label, weightage_pct, recurrence_rate, trend_slope) of each unit, for ``predictions``.
+
+    Weightage is the unit's share of the rows, recurrence the share of the scope's years that ask for it (1
+    in a scope without years), the trend its slope over the order of its own years. Unmapped units are left out.
+    """
+    shares = unit_frequency(questions).where(~F.lower("unit").isin(*NO_UNITS)).select("scope", F.col("unit").alias("label"), F.col("rows_pct").alias("weightage_pct"))
+    dated = counted_rows(questions).withColumn("year", year_of(F.col("paper_label"))).where(F.col("year").isNotNull())
+    counts = dated.groupBy("scope", F.col("unit").alias("label"), "year").agg(F.count(F.lit(1)).alias("n"))
+    years = counts.groupBy("scope").agg(F.count_distinct("year").alias("years"))
+    own = counts.where(F.col("label").isNotNull()).groupBy("scope", "label").agg(F.count(F.lit(1)).alias("present"))
+    slopes = ordinal_slope(counts.where(F.col("label").isNotNull()), ["scope", "label"]).withColumnRenamed("slope", "trend_slope")
+    rows = shares.join(years, "scope", "left").join(own, ["scope", "label"], "left").join(slopes, ["scope", "label"], "left")
+    recurrence = F.when(F.col("years").isNull(), 1.0).otherwise(rounded(F.coalesce("present", F.lit(0)) / F.col("years"), 4))
+    return rows.select("scope", "label", "weightage_pct", recurrence.alias("recurrence_rate"), "trend_slope")
+
+
+def topic_features(topics: DataFrame) -> DataFrame:
+    """The same of (scope, topic, n): counts against the scope's largest, without a trend."""
+    peak = topics.groupBy("scope").agg(F.max("n").alias("peak"))
+    share = F.col("n") / F.col("peak")
+    rows = topics.where(F.trim("topic") != "").join(peak, "scope")
+    return rows.select("scope", F.col("topic").alias("label"), rounded(100.0 * share, 4).alias("weightage_pct"), rounded(share, 4).alias("recurrence_rate"), F.lit(None).cast("double").alias("trend_slope"))
+
+
+def all_predictions(concepts: DataFrame, units: DataFrame, topics: DataFrame, structure_units: DataFrame | None = None, top_n: int = 10, top_units: int = 5, top_topics_n: int = 5) -> DataFrame:
+    """(kind, scope, label, score, reasons, rank) of concepts, units and topics, each by ``predictions``.
+
+    A scope with ``structure_units`` is predicted by these, others by ``units``.
+    """
+    if structure_units is not None:
+        units = structure_units.unionByName(units.join(structure_units.select("scope").distinct(), "scope", "left_anti"))
+    parts = (("concept", concepts, top_n), ("unit", units, top_units), ("topic", topics, top_topics_n))
+    made = [predictions(rows, n).select(F.lit(kind).alias("kind"), "*") for kind, rows, n in parts]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 def topic_frequency(questions: DataFrame, fallback_unit: str = "general") -> DataFrame:
     """(scope, unit, section, n, level): counts by unit and by unit and section, in one pass of grouping sets."""
     rows = questions.select("scope", F.coalesce("unit", F.lit(fallback_unit)).alias("unit"), F.coalesce("section_title", F.lit("Unclassified")).alias("section"))

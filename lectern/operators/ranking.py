@@ -19,11 +19,94 @@ def term_hits(body: Column, wanted: Column) -> Column:
     return F.size(F.filter(wanted, lambda t: F.contains(text, F.lower(t))))
 
 
-def lexical_bonus(body: Column, wanted: Column) -> Column:
-    """.05 and a tenth of the share of terms found, .05 more when all but one are; .18 at most."""
-    hits, n = term_hits(body, wanted), F.size(wanted)
-    bonus = F.when(hits == 0, 0.0).otherwise(0.05 + 0.10 * hits / n + F.when(hits >= F.greatest(F.lit(2), n - 1), 0.05).otherwise(0.0))
-    return F.least(F.lit(0.18), F.when(n > 0, bonus).otherwise(0.0))
+# What the bonuses add and where they end.
+_HIT, _SHARE, _NEARLY_ALL, _MOST = 0.05, 0.10, 0.05, 0.18
+_UNTITLED, _TITLE, _TITLE_SHARE, _UNIT, _UNIT_STEP = 0.08, 0.03, 0.04, 0.03, 0.01
+_PAGE_BODY, _PAGE_UNIT, _PAGE_LOW, _LOW_SCORE = 0.06, 0.04, 0.03, 0.42
+_FAR, _FARTHER, _OTHER_UNIT, _NEAR_PAGES, _FAR_PAGES = 0.05, 0.08, 0.06, 2, 8
+
+
+def lexical_bonus(body: Column, wanted: Column, parent: Column | None = None) -> Column:
+    """.05 and a tenth of the share of terms found in body and parent, .05 more with a parent when all but one are; .18 at most."""
+    hay = body if parent is None else F.concat_ws(" ", body, parent)
+    hits, n = term_hits(hay, wanted), F.size(wanted)
+    nearly = hits >= F.greatest(F.lit(2), n - 1)
+    nearly = nearly if parent is None else nearly & (F.coalesce(F.length(parent), F.lit(0)) > 0)
+    bonus = F.when(hits == 0, 0.0).otherwise(_HIT + _SHARE * hits / n + F.when(nearly, _NEARLY_ALL).otherwise(0.0))
+    return F.least(F.lit(_MOST), F.when(n > 0, bonus).otherwise(0.0))
+
+
+def phrase_bonus(question: Column, body: Column, phrases: dict[str, float]) -> Column:
+    """The largest weight of the phrases that both the question and the body hold."""
+    q, hay = F.lower(question), F.lower(body)
+    weights = [F.when(F.contains(q, F.lit(p)) & F.contains(hay, F.lit(p)), w).otherwise(0.0) for p, w in phrases.items()]
+    return F.array_max(F.array(F.lit(0.0), *weights))
+
+
+def rescue_bonus(score: Column, question: Column, body: Column, rules: list[tuple[list[str], list[str], float]], least: float = 0.35) -> Column:
+    """The bonus of the first rule (words of the question, words of the body, bonus) that holds, for scores below ``least``."""
+    q, hay = F.lower(question), F.lower(body)
+    bonus = F.lit(0.0)
+    for asked, held, gives in reversed(rules):
+        every = F.lit(True)
+        for text, words in ((q, asked), (hay, held)):
+            for word in words:
+                every = every & F.contains(text, F.lit(word))
+        bonus = F.when(every, gives).otherwise(bonus)
+    return F.when(score >= least, 0.0).otherwise(bonus)
+
+
+def in_ranges(page: Column, ranges: Column) -> Column:
+    return F.coalesce(F.exists(ranges, lambda r: page.between(r["page_start"], r["page_end"])), F.lit(False))
+
+
+def metadata_bonus(score: Column, wanted: Column, page: Column, unit: Column, section: Column, toc: Column, body_hits: Column, units: Column, ranges: Column) -> Column:
+    """What a chunk's titles, unit and page add: terms in the titles, the unit among the hinted ``units`` (less
+    for later ones), the page in a hinted range; off for chunks without a unit, front matter and the first pages where there are hints; .18 at most."""
+    titles = F.trim(F.concat_ws(" ", F.lower(section), F.lower(toc)))
+    n = F.size(wanted)
+    hits = F.size(F.filter(wanted, lambda t: F.contains(titles, t)))
+    hinted = (F.coalesce(F.size(units), F.lit(0)) > 0) | (F.coalesce(F.size(ranges), F.lit(0)) > 0)
+    front = unit.isNull() | (F.coalesce(F.lower(toc), F.lit("")) == "front matter") | (page <= 2)
+    place = F.coalesce(F.array_position(units, unit), F.lit(0))
+    paged = F.when((body_hits > 0) | (hits > 0), _PAGE_BODY).when(place > 0, _PAGE_UNIT).otherwise(0.0) + F.when(score < _LOW_SCORE, _PAGE_LOW).otherwise(0.0)
+    total = (
+        F.when(hinted & front, -_UNTITLED).otherwise(0.0)
+        + F.when((n > 0) & (hits > 0), _TITLE + _TITLE_SHARE * hits / n).otherwise(0.0)
+        + F.when(place > 0, _UNIT - _UNIT_STEP * (place - 1)).otherwise(0.0)
+        + F.when(in_ranges(page, ranges), paged).otherwise(0.0)
+    )
+    return F.least(F.lit(_MOST), total)
+
+
+def section_demotion(page: Column, unit: Column, units: Column, ranges: Column) -> Column:
+    """What a chunk outside all hinted ranges loses: by its distance, and for a unit that isn't hinted at."""
+    away = F.array_min(F.transform(ranges, lambda r: F.least(F.abs(page - r["page_start"]), F.abs(page - r["page_end"]))))
+    far = F.when(away > _FAR_PAGES, _FARTHER).when(away > _NEAR_PAGES, _FAR).otherwise(0.0)
+    other = (F.coalesce(F.size(units), F.lit(0)) > 0) & unit.isNotNull() & ~F.coalesce(F.array_contains(units, unit), F.lit(False))
+    outside = (F.coalesce(F.size(ranges), F.lit(0)) > 0) & ~in_ranges(page, ranges)
+    return F.when(outside, F.greatest(far, F.when(other, _OTHER_UNIT).otherwise(0.0))).otherwise(0.0)
+
+
+#: Characters of the parent that a reranker reads, alone and beside the chunk.
+PARENT_ALONE, PARENT_BESIDE = 2000, 1500
+
+
+def rerank_text(body: Column, parent: Column) -> Column:
+    """What a reranker reads of a chunk: the parent's begin where it holds the chunk, the chunk where it holds
+    the parent, else both."""
+    b, p = F.trim(F.coalesce(body, F.lit(""))), F.trim(F.coalesce(parent, F.lit("")))
+    both = F.concat(b, F.lit("\n\n"), F.substring(p, 1, PARENT_BESIDE))
+    return F.when(p == "", b).when(F.contains(p, b), F.substring(p, 1, PARENT_ALONE)).when(F.contains(b, p), F.substring(b, 1, PARENT_ALONE)).otherwise(both)
+
+
+# The least score of the best hit, of study and of exam questions.
+GATES = {"study": 0.35, "exam": 0.25}
+
+
+def gate_threshold(mode: Column) -> Column:
+    """The least score of the best hit in a mode; that of study for others and null."""
+    return F.when(mode == "exam", GATES["exam"]).otherwise(GATES["study"])
 
 
 def page_window_bonus(page: Column, low: Column, high: Column, bonus: float = 0.06, per_page: float = 0.01, most: float = 0.12) -> Column:
@@ -69,13 +152,22 @@ def context_budget(hits: DataFrame, max_tokens: int = 4000, key: str = "query_id
     return used.withColumn("kept", kept.cast("int")).withColumn(text, F.col(text).substr(F.lit(1), F.col("kept"))).drop("_used")
 
 
-def estimate_page(text: Column, wanted: Column, page_start: Column, page_end: Column) -> Column:
-    """The page of the first wanted term that the text has, by its share of the text's length."""
+def estimate_page(text: Column, wanted: Column, page_start: Column, page_end: Column, page: Column | None = None, ranges: Column | None = None) -> Column:
+    """The page of the first wanted term that the text has, by its share of the text's length.
+
+    Of a parent on one page, or without any term, ``page`` is kept (its first page without one). With
+    ``ranges`` the estimate is moved into the first hinted range that meets the parent's pages.
+    """
     lowered = F.lower(text)
     first = F.try_element_at(F.filter(wanted, lambda t: F.contains(lowered, F.lower(t))), F.lit(1))
     place = F.instr(lowered, F.lower(first)) - 1
-    page = page_start + F.bround(place / F.greatest(F.lit(1), F.length(text)) * (page_end - page_start)).cast("int")
-    return F.when((page_start < page_end) & first.isNotNull(), F.least(page_end, F.greatest(page_start, page))).otherwise(page_start)
+    share = place / F.greatest(F.lit(1), F.length(text))
+    raw = page_start + F.bround(share * (page_end - page_start)).cast("int")
+    estimate = F.least(page_end, F.greatest(page_start, raw))
+    if ranges is not None:
+        meets = F.try_element_at(F.filter(ranges, lambda r: (page_start <= r["page_end"]) & (page_end >= r["page_start"])), F.lit(1))
+        estimate = F.when(meets.isNull(), estimate).otherwise(F.greatest(F.greatest(page_start, meets["page_start"]), F.least(F.least(page_end, meets["page_end"]), estimate)))
+    return F.when((page_start < page_end) & first.isNotNull() & (F.length(text) >= 2), estimate).otherwise(page_start if page is None else page)
 
 
 def coverage(documents: DataFrame, hits: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ Queries are a table; every list keeps query_id, so many questions go through one
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import terms
+from lectern.functions.text import LEXICAL_MARKERS, is_lexical_heavy, terms
 
 #: Bytes of query vectors that are broadcast at once; a larger query set goes in blocks.
 QUERY_BYTES = 64 << 20
@@ -122,15 +123,79 @@ def bm25(queries: DataFrame, texts: DataFrame, k: int = 40, require_all: bool =
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k).select("query_id", "id", "score", "matched", "rank")
 
 
+def scoped_topk(queries: DataFrame, index: DataFrame, k: int = 40) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` rows of largest cosine among those of each query's scope.
+
+    ``queries`` (query_id, scope, vector), ``index`` (id, scope, vector). A row meets the queries of its own
+    scope only; Spark splits the join where a scope is hot, and keeps k rows a query before it shuffles
+    them. Vectors as in ``vector_topk``; score is rounded to 6 decimals, ties go to the smaller id.
+    """
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "scope", F.col("vector").cast("array<double>").alias("q"))
+    rows = index.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select("id", "scope", F.col("vector").cast("array<double>").alias("v"))
+    met = rows.join(asked, "scope").where(F.size("q") == F.size("v")).select("query_id", "id", "q", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            scores = np.full(batch.num_rows, np.nan)
+            q, v = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            for size in np.unique(sizes[sizes > 0]):
+                own = np.flatnonzero(sizes == size)
+                begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))[own][:, None] + np.arange(size)
+                with np.errstate(all="ignore"):
+                    a, b = q[begins], v[begins]
+                    scores[own] = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+            good = np.flatnonzero(np.isfinite(scores))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), batch.column(1).take(pa.array(good)), pa.array(np.round(scores[good], 6))], names=["query_id", "id", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    return _ranked(met.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+
+
+#: The weight of a matched position in the density ranks.
+POSITION = 0.1
+
+
+def _postings(asked: DataFrame, texts: DataFrame, places: bool) -> DataFrame:
+    """(id, scope, term, tf or positions) of the asked terms; texts are split once, other terms leave before any shuffle."""
+    wanted = asked.select("term").distinct()
+    listed = texts.where(F.col("text").isNotNull() & F.col("id").isNotNull()).select("id", "scope", F.posexplode(terms(F.col("text"))).alias("position", "term"))
+    held = F.array_sort(F.collect_list("position")).alias("positions") if places else F.count(F.lit(1)).alias("tf")
+    return listed.join(wanted, "term", "left_semi").groupBy("id", "scope", "term").agg(held)
+
+
+def _asked(queries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and texts with a scope; without one all share it."""
+    scoped = lambda df: df if "scope" in df.columns else df.withColumn("scope", F.lit(""))
+    return scoped(queries).where(F.col("term").isNotNull() & F.col("scope").isNotNull()).select("query_id", "scope", "term").distinct(), scoped(texts)
+
+
+def any_density(queries: DataFrame, texts: DataFrame, k: int = 40) -> DataFrame:
+    """(query_id, id, score, rank) of the texts with any term of the query: .1 for each of their places.
+
+    ``queries`` (query_id, term) and ``texts`` (id, text), both with a scope where searches are scoped. It is
+    the cover density of a query whose terms are alternatives, for which each place is a cover of its own.
+    """
+    asked, texts = _asked(queries, texts)
+    found = asked.join(_postings(asked, texts, False), ["scope", "term"]).groupBy("query_id", "id").agg(F.round(F.sum("tf") * POSITION, 6).alias("score"))
+    return _ranked(found, k)
+
+
 def cover_density(queries: DataFrame, texts: DataFrame, k: int = 40) -> DataFrame:
-    """(query_id, id, score, rank) by cover density: a text that has all terms scores the sum of
-    1 / length over its covers, the shortest stretches that hold every term once and contain no other.
+    """(query_id, id, score, rank) of the texts with all terms of the query, by the density of their covers.
 
-    Only texts with all terms are gathered, and of each only the positions of the terms.
+    A cover is a shortest stretch that holds every term and no other cover; it adds .1 / (1 + the words in
+    it that aren't asked for). ``queries`` and ``texts`` as in ``any_density``. Only texts with all terms are
+    gathered, and of each only the positions of the terms.
     """
-    asked = queries.where(F.col("term").isNotNull()).select("query_id", "term").distinct()
+    asked, texts = _asked(queries, texts)
     need = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    postings = inverted_index(texts).join(asked, "term")
+    postings = asked.join(_postings(asked, texts, True), ["scope", "term"])
     full = postings.groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("have"), F.collect_list(F.struct("term", "positions")).alias("places")).join(need, "query_id").where("have = need")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,22 +204,22 @@ def cover_density(queries: DataFrame, texts: DataFrame, k: int = 40) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in full.schema}
-    scored = full.select("query_id", "id", "places").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
+    return _ranked(full.select("query_id", "id", "places").mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double"), k)
 
 
 def covers_score(lists: Sequence[Sequence[int]]) -> float:
-    """Sum of 1 / length of the minimal covers of the sorted position lists."""
+    """The sum over the minimal covers of the sorted position lists, see ``cover_density``."""
     events = sorted((p, i) for i, places in enumerate(lists) for p in places)
+    at_least: dict[int, int] = {}
     last: dict[int, int] = {}
     total, begin = 0.0, -1
-    for at, which in events:
+    for n, (at, which) in enumerate(events):
         last[which] = at
+        at_least[at] = n
         if len(last) == len(lists):
             start = min(last.values())
             if start > begin:  # else an inner cover has the same begin and is shorter
-                total += 1.0 / (at - start + 1)
+                total += POSITION / (1 + (at - start) - (n - at_least[start]))
                 begin = start
     return total
 
@@ -180,8 +245,16 @@ def merge_hits(lexical: DataFrame, vector: DataFrame) -> DataFrame:
     return left.join(right, "id", "full_outer").withColumn("match_score", F.greatest("lexical_score", "vector_score"))
 
 
-def list_weights(questions: DataFrame, markers: Sequence[str]) -> DataFrame:
+def list_weights(questions: DataFrame, markers: Sequence[str] = LEXICAL_MARKERS) -> DataFrame:
     """``questions`` (query_id, text) with vector_weight and lexical_weight: .85 and 1.75 for a question
     that holds one of the ``markers`` of lexical questions, else 1 and 1."""
-    heavy = F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(F.lower("text"), m)) if markers else F.lit(False)
+    heavy = is_lexical_heavy(F.col("text"), markers)
     return questions.withColumns({"vector_weight": F.when(heavy, 0.85).otherwise(1.0), "lexical_weight": F.when(heavy, 1.75).otherwise(1.0)})
+
+
+def fuse_weighted(lists: Sequence[DataFrame], k: int = 60, top: int = 24) -> DataFrame:
+    """As ``fuse``, for lists (query_id, id, rank, weight) whose weight differs by query."""
+    union = reduce(DataFrame.unionByName, (df.select("query_id", "id", (F.col("weight") / (k + F.col("rank"))).alias("part")) for df in lists))
+    fused = union.groupBy("query_id", "id").agg(F.round(F.sum("part"), 10).alias("fused"), F.count(F.lit(1)).alias("n_lists"))
+    window = Window.partitionBy("query_id").orderBy(F.desc("fused"), "id")
+    return fused.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top)

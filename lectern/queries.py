@@ -53,13 +53,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from lectern import queries_text  # noqa: F401  registers the parsing and text queries
+    from lectern import queries_concepts, queries_retrieval, queries_text  # noqa: F401  register the other queries
 
     return dict(_QUERIES)
 
 
 #: Queries whose rank is an int here and a bigint in the SQL's row_number().
-_RANKED = ("concept_page_ranked", "predictions_ranked", "top_topics", "vector_topk", "lexical_any", "lexical_all", "rrf_fusion", "confidence_gate", "context_budget")
+_RANKED = ("concept_page_ranked", "predictions_ranked", "top_topics", "vector_topk", "lexical_any", "lexical_all", "metadata_search", "cover_density_search", "rrf_fusion", "confidence_gate", "context_budget")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -258,10 +258,11 @@ def page_to_section(spark: SparkSession, folder: str) -> DataFrame:
     return lookup.page_sections(pages, sections)
 
 
-_TERM = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda x: length(x) >= 4)"
+_WORD = r"'[\p{L}\p{N}]+'"
+_TERM = "list_filter(list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')), lambda x: length(x) >= 4)"
 
 
-@query(f"""WITH q AS (SELECT DISTINCT question_id AS text_id, prompt_text FROM exam_questions WHERE prompt_text IS NOT NULL), t AS (SELECT DISTINCT text_id, unnest(list_distinct(regexp_extract_all(lower(prompt_text), '[a-z0-9]+'))) AS term FROM q),
+@query(f"""WITH q AS (SELECT DISTINCT question_id AS text_id, prompt_text FROM exam_questions WHERE prompt_text IS NOT NULL), t AS (SELECT DISTINCT text_id, unnest(list_distinct(regexp_extract_all(lower(prompt_text), {_WORD}))) AS term FROM q),
     c AS (SELECT course_id AS pattern_id, row_number() OVER (ORDER BY course_id) AS ordinal, {_TERM.format('name')} AS ts FROM courses), ph AS (SELECT pattern_id, ordinal, unnest(ts) AS term FROM c),
     s AS (SELECT text_id, pattern_id, ordinal, CAST(sum(length(term)) AS BIGINT) AS score FROM t JOIN ph USING (term) GROUP BY ALL)
     SELECT text_id, pattern_id, score FROM (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY score DESC, ordinal) AS rn FROM s) WHERE rn = 1""")
@@ -314,13 +315,35 @@ def _course_terms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "courses").select(F.col("course_id").alias("query_id"), F.explode(F.array_distinct(fn.terms(F.col("name")))).alias("term")).where(F.length("term") >= 4)
 
 
-_BM = f"""qt AS (SELECT course_id AS query_id, unnest({_TERM.format('name')}) AS term FROM courses),
-  d AS (SELECT chunk_id AS id, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id), dt AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM d),
+_CHUNK_TEXT = "SELECT chunk_id AS id, min(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_id"
+
+
+def _bm(texts: str) -> str:
+    """The steps of Okapi BM25 over the texts (id, text)."""
+    return f"""qt AS (SELECT course_id AS query_id, unnest({_TERM.format('name')}) AS term FROM courses),
+  d AS ({texts}), dt AS (SELECT id, regexp_extract_all(lower(text), {_WORD}) AS ts FROM d),
   st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(ts)) AS mean FROM dt), po AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM dt) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
   sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5)/(df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / mean))),6) AS score, count(*) AS matched FROM qt JOIN po USING (term) JOIN df USING (term), st GROUP BY query_id, id)"""
 
 
+_BM = _bm(_CHUNK_TEXT)
+_TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {}) WHERE rank <= {}"
+
+
+def covers_sql(asked: str, texts: str) -> str:
+    """The steps of ``search.cover_density`` over asked (query_id, scope, term) and texts (id, scope, text): sc (query_id, id, score)."""
+    return f"""qa AS (SELECT DISTINCT * FROM ({asked})), dl AS ({texts}), dw AS (SELECT id, scope, regexp_extract_all(lower(text), {_WORD}) AS ts FROM dl WHERE text IS NOT NULL),
+  ev AS (SELECT query_id, id, term, pos FROM (SELECT id, scope, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM dw) JOIN qa USING (scope, term)),
+  need AS (SELECT query_id, count(*) AS need FROM qa GROUP BY query_id), hv AS (SELECT query_id, id, count(DISTINCT term) AS have FROM ev GROUP BY ALL),
+  fe AS (SELECT ev.* FROM ev JOIN hv USING (query_id, id) JOIN need USING (query_id) WHERE have = need),
+  lt AS (SELECT a.query_id, a.id, a.pos, b.term, max(b.pos) AS last FROM fe a JOIN fe b ON a.query_id = b.query_id AND a.id = b.id AND b.pos <= a.pos GROUP BY ALL),
+  st0 AS (SELECT query_id, id, pos, min(last) AS start FROM lt JOIN need USING (query_id) GROUP BY query_id, id, pos, need HAVING count(*) = need),
+  cv AS (SELECT query_id, id, start, min(pos) AS stop FROM st0 GROUP BY ALL),
+  cn AS (SELECT cv.query_id, cv.id, start, stop, count(*) AS inside FROM cv JOIN fe ON fe.query_id = cv.query_id AND fe.id = cv.id AND fe.pos BETWEEN start AND stop GROUP BY ALL),
+  sc AS (SELECT query_id, id, round(sum(CAST(0.1 AS DOUBLE) / (1 + (stop - start) - (inside - 1))), 6) AS score FROM cn GROUP BY ALL)"""
+
+
 @query(f"WITH {_BM} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 20")
 def lexical_any(spark: SparkSession, folder: str) -> DataFrame:
     texts = views.chunks(spark, folder).select(F.col("chunk_id").alias("id"), "text")
@@ -334,14 +357,14 @@ def lexical_all(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25(_course_terms(spark, folder), texts, 20, require_all=True)
 
 
-@query()
+@query(f"""WITH {_bm("SELECT id, min(text) AS text FROM (SELECT chunk_id AS id, concat_ws(' ', metadata['section_title'], metadata['toc_path']) AS text FROM chunks WHERE coalesce(metadata['section_title'], metadata['toc_path']) IS NOT NULL) GROUP BY id")} {_TOP.format("sc", 20)}""")
 def metadata_search(spark: SparkSession, folder: str) -> DataFrame:
     fields = [F.try_element_at("metadata", F.lit(key)) for key in ("section_title", "toc_path")]
     titles = table(spark, folder, "chunks").where(F.coalesce(*fields).isNotNull()).select(F.col("chunk_id").alias("id"), F.concat_ws(" ", *fields).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
     return search.bm25(_course_terms(spark, folder), titles, 20)
 
 
-@query()
+@query(f"""WITH {covers_sql("SELECT course_id AS query_id, '' AS scope, unnest(" + _TERM.format("name") + ") AS term FROM courses", "SELECT id, '' AS scope, text FROM (" + _CHUNK_TEXT + ")")} {_TOP.format("sc", 20)}""")
 def cover_density_search(spark: SparkSession, folder: str) -> DataFrame:
     texts = views.chunks(spark, folder).select(F.col("chunk_id").alias("id"), "text")
     return search.cover_density(_course_terms(spark, folder), texts, 20)

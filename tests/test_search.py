@@ -46,8 +46,8 @@ def test_bm25_needs_all_terms_when_asked(spark, texts):
 
 
 def test_cover_density():
-    assert search.covers_score([[0, 10], [1]]) == pytest.approx(1 / 2 + 1 / 10)
-    assert search.covers_score([[3]]) == 1.0
+    assert search.covers_score([[0, 10], [1]]) == pytest.approx(0.1 + 0.1 / 9)
+    assert search.covers_score([[3]]) == 0.1
 
 
 def test_fusion_sums_reciprocal_ranks(spark):
