@@ -99,8 +99,32 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def audit_tier(empty: Column, multi_column: Column, image_heavy: Column) -> Column:
-    """Which reader a file needs, by the shares of its sampled pages."""
-    return F.when(empty >= 0.5, "ocr").when(image_heavy >= 0.5, "ocr").when(multi_column >= 0.4, "layout_defer").otherwise("native")
+    """Which reader a file needs, by the shares of its sampled pages that are empty, of several columns, mostly image."""
+    return (
+        F.when((empty >= 0.75) | (image_heavy >= 0.75), "ocr")
+        .when((multi_column >= 0.35) & (empty < 0.5), "layout_defer")
+        .when((empty >= 0.2) | (image_heavy >= 0.35), "ocr")
+        .otherwise("native")
+    )
+
+
+def reconciled_tier(tier: Column, multi_column: Column, n_pages: Column, ocr_pages: Column, nonempty_pages: Column) -> Column:
+    """The tier after a file was read: scanned when nothing, or half of its pages, needed a scanner's reader."""
+    pages = F.greatest(n_pages, F.lit(1))
+    return (
+        F.when((nonempty_pages == 0) | (ocr_pages / pages >= 0.5), "ocr")
+        .when(tier == "layout_defer", "layout_defer")
+        .when(ocr_pages / pages >= 0.15, "ocr")
+        .when((tier == "native") & (multi_column >= 0.35), "layout_defer")
+        .otherwise(tier)
+    )
+
+
+def looks_multi_column(centres: Column, width: Column) -> Column:
+    """Whether text blocks, by the x of their centres, stand in columns: eight at least, three on either side."""
+    left = F.size(F.filter(centres, lambda x: x < width * 0.45))
+    right = F.size(F.filter(centres, lambda x: x > width * 0.55))
+    return (width > 0) & (F.size(centres) >= 8) & (left >= 3) & (right >= 3)
 
 
 def sampled(pages: DataFrame, most: int = 12) -> DataFrame:
