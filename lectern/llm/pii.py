@@ -1,11 +1,13 @@
 """Problem 8: personal information inside free text.
 
-E-mail addresses, phone and identity numbers and street addresses have shapes of their own. Names don't;
-they are found by what the corpus discloses. Of every capitalised term it is counted over all documents how often it stands at all and how often inside a protected
-entity (after a title, a label or a phrase that introduces a person). The information that the term
-gives about such an entity, log2 P(entity | term) / P(entity), is its disclosure; terms over the
-threshold are name terms, wherever they stand, and their runs are replaced. Terms that the corpus is silent about
-are taken as names only directly behind an introducing phrase.
+E-mail addresses, phone and identity numbers and street addresses have shapes of their own. Names don't, nor
+have numbers in a form met nowhere else; they are found by what the corpus discloses. Of every capitalised term
+it is counted over all documents how often it stands at all and how often inside a protected entity (after a
+title, a label or a phrase that introduces a person), and of the words before numbers how often a phone or
+identity number of a known shape follows. The information that a term gives about such an entity,
+log2 P(entity | term) / P(entity), is its disclosure; terms over the threshold are name terms, wherever they
+stand, and their runs are replaced, and numbers of any form are replaced behind words that disclose one. Terms
+that the corpus is silent about are taken as names only directly behind an introducing phrase.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut_lineage
+
 #: Bits of disclosure, share of a term's uses inside entities, and uses inside, that make a name term.
 MIN_BITS, MIN_SHARE, MIN_USES = 1.0, 0.1, 2
 #: Name terms up to which they are broadcast (some 30 MB); more are joined to the documents instead.
@@ -113,8 +117,14 @@ _INITIALS_AFTER = re.compile(r"[ \t]+[A-Z]\.(?=[ \t]*[,/)(]|[ \t]+[-–][ \t])(?
 #: Where digits stand that may be a phone or identity number; the patterns are tried only there.
 _DIGITS = re.compile(r"\d[\d ().\-]{3,}\d")
 _LETTER_NUMBER = re.compile(r"[A-Z]{1,5}\d{2}(?:\d{2}|-[A-Z])")
-#: Around a sign of an address, as far as one reaches.
+#: How far from the sign or number that shows it a piece is looked for, at first; the bound grows where it may have cut one.
 _REACH = 90
+#: A number of any form: seven to fifteen digits, with the signs that stand in phone and identity numbers, and letters of a series before it.
+_ANY_NUMBER = re.compile(r"(?<![\w.,/-])(?:(?!ISBN|ISSN|DOI)[A-Z]{1,5}[ -]?)?\+?\(?\d(?:[ ./()-]{0,2}\d){6,14}(?![\w/%]|[ ./()-]{0,2}\d|,\d)")
+#: The word before a number on its line, with its colon or stop.
+_WORD_BEFORE = re.compile(r"([^\W\d_]{2,})[.:)]{0,2}[ \t]*(?:no\.?|number|nr\.?|#)?[.:]?[ \t(]*\Z", re.I)
+#: Uses of a word before numbers, the share of them that are of one kind, and the disclosure, that make it a sign of that kind.
+NUMBER_USES, NUMBER_SHARE, NUMBER_BITS = 5, 0.5, 1.0
 _AT_SIGN = re.compile("[@＠]")
 _WRITTEN = re.compile(r"[\[({ \t](?:[ \t]?(?:at|AT|At)[ \t]?[\])}]|[ \t]?(?:dot|DOT|Dot)[ \t\])}])")
 _WRITTEN_OUT = ("dot", "DOT", "at)", "at]", "AT)", "AT]", "at }", "at )", "at ]", "At)", "At]")
@@ -133,11 +143,62 @@ def _free(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
 
 def _near(pattern: re.Pattern, text: str, at: int, until: int, kind: str, taken: list[tuple[int, int, str]]) -> None:
     """Adds the matches of ``pattern`` that meet at..until and don't overlap what's taken."""
-    for m in pattern.finditer(text, max(0, at - _REACH), min(len(text), until + 2 * _REACH)):
-        if m.start() >= until:
-            break
-        if m.end() > at and _free(*m.span(), taken) and not (kind != "street_address" and _NOT_PERSONAL.search(text, max(0, m.start() - 12), m.start())):
-            taken.append((*m.span(), kind))
+    reach = _REACH
+    if kind == "email":  # a local part may be of any length
+        reach = max(reach, at - _local_begin(text, at) + 2)
+    while True:
+        low, high = max(0, at - reach), min(len(text), until + 2 * reach)
+        cut = False
+        for m in pattern.finditer(text, low, high):
+            if m.start() >= until:
+                break
+            if m.end() > at:
+                cut = cut or (m.end() == high < len(text))
+                if not cut and _free(*m.span(), taken) and not (kind != "street_address" and _NOT_PERSONAL.search(text, max(0, m.start() - 40), m.start())):
+                    taken.append((*m.span(), kind))
+        if not cut:
+            return
+        reach *= 4
+
+
+def _local_begin(text: str, at: int) -> int:
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+        at -= 1
+    return at
+
+
+def number_places(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """(word before, start, end) of the numbers of any form outside ``taken``."""
+    for m in _ANY_NUMBER.finditer(text):
+        if _free(*m.span(), taken):
+            before = _WORD_BEFORE.search(text, max(0, m.start() - 40), m.start())
+            if before and not _NOT_PERSONAL.search(text, max(0, m.start() - 40), m.start()):
+                yield before.group(1).lower(), *m.span()
+
+
+#: Before the words that stand before numbers in the counts, which hold capitalised terms as well.
+_NUMBER = "# "
+_COUNTED = ("phone", "identity_number")
+
+
+def number_counts(text: str, counts: dict[str, list[int]]) -> None:
+    """Adds to '# ' + word -> [numbers behind it, of these phones, identity numbers, 0]."""
+    taken = [t for t in shaped(text) if t[2] in _COUNTED]
+    places = [(word, 0) for word, _, _ in number_places(text, taken)]
+    for start, _, kind in taken:
+        before = _WORD_BEFORE.search(text, max(0, start - 40), start)
+        if before:
+            places.append((before.group(1).lower(), 1 + _COUNTED.index(kind)))
+    for word, kind in places:
+        own = counts.setdefault(_NUMBER + word, [0, 0, 0, 0])
+        own[0] += 1
+        if kind:
+            own[kind] += 1
+
+
+def number_spans(text: str, signs: dict[str, int], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The numbers of any form behind words that disclose one. signs: '# ' + word -> 1 phone, 2 identity number."""
+    return [(start, end, _COUNTED[signs[_NUMBER + word] - 1]) for word, start, end in number_places(text, taken) if _NUMBER + word in signs]
 
 
 def shaped(text: str) -> list[tuple[int, int, str]]:
@@ -157,7 +218,7 @@ def shaped(text: str) -> list[tuple[int, int, str]]:
     for m in _NUMBERED.finditer(text):
         start, end = m.span()
         if start >= done:
-            window = text[max(0, start - 60) : end + 60]
+            window = text[max(0, start - _REACH) : end + _REACH]
             if any(word in window for word in _ADDRESS_WORDS):
                 before = len(taken)
                 _near(_ADDRESS, text, start, end, "street_address", taken)
@@ -172,9 +233,18 @@ def shaped(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+def _lead(text: str, start: int, width: int) -> str:
+    """What stands before ``start``, of ``width`` characters and the blanks behind them."""
+    lead = text[max(0, start - width) : start]
+    if lead.isspace():
+        stripped = len(text[:start].rstrip())
+        lead = text[max(0, stripped - width) : start]
+    return lead
+
+
 def _before(text: str, start: int) -> tuple[str, str]:
     """The two words that stand before ``start``, in order, with their punctuation."""
-    words = text[max(0, start - 30) : start].split()
+    words = _lead(text, start, 30).split()
     return (words[-2] if len(words) > 1 else "", words[-1] if words else "")
 
 
@@ -182,7 +252,7 @@ def _cue(text: str, start: int) -> str:
     """"strong" behind a title, label or phrase of persons, "weak" behind words that often precede one."""
     if start == 0 or not text[start - 1].isspace():
         return ""
-    last = text[max(0, start - 15) : start].split()
+    last = _lead(text, start, 15).split()
     one = last[-1] if last else ""
     if one in _ENDS:
         if one in _LABELS or one.rstrip(".") in _TITLES:
@@ -194,7 +264,7 @@ def _cue(text: str, start: int) -> str:
 
 def _may_have_cue(text: str, start: int) -> bool:
     """A cheap look: false only where ``_cue`` would not be strong."""
-    lead = text[max(0, start - 15) : start]
+    lead = _lead(text, start, 15)
     return "\n" in lead or lead[-2:-1] == "." or lead[:-1].rpartition(" ")[2] in _ENDS
 
 
@@ -314,12 +384,15 @@ def _is_person(text: str, begin: int, end: int, after: str, count: int, lead: bo
 def find(text: str, lexicon: dict[str, int]) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, sorted, without overlaps."""
     taken = shaped(text)
+    taken = sorted(taken + number_spans(text, lexicon, taken))
     return sorted(taken + name_spans(text, lexicon, taken))
 
 
 def disclosures(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, uses, inside, disclosure, role) of every capitalised term of the corpus, counted over all
-    documents; disclosure is null for a term never inside an entity. Counts are summed per task first."""
+    documents; disclosure is null for a term never inside an entity. Words before numbers come with a '# ' before
+    them, inside and disclosure being those of the kind of role (1 phone, 2 identity number) that is more
+    frequent behind them. The texts are read once; counts are summed per task first."""
     source = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +400,7 @@ def disclosures(documents: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 term_counts(text, counts)
+                number_counts(text, counts)
             if len(counts) > _FLUSH:
                 yield _count_rows(counts)
                 counts = {}
@@ -334,11 +408,17 @@ def disclosures(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
     names = ("uses", "inside", "first", "second")
     counted = source.mapInArrow(run, "term string, " + ", ".join(f"{n} long" for n in names)).groupBy("term").agg(*(F.sum(n).alias(n) for n in names))
-    totals = counted.agg(F.sum("inside"), F.sum("uses")).first()
-    base = (totals[0] or 0) / max(1, totals[1] or 0)
-    bits = F.log2(F.col("inside") / F.col("uses") / F.lit(base)) if base else F.lit(None).cast("double")
+    counted = cut_lineage(counted)
+    number = F.startswith("term", F.lit(_NUMBER))
+    totals = {r["number"]: r for r in counted.groupBy(number.alias("number")).agg(*(F.sum(n).alias(n) for n in names)).collect()}
+    share = lambda group, column: (totals[group][column] or 0) / max(1, totals[group]["uses"] or 0) if group in totals else 0.0
+    bits = lambda inside, base: F.log2(F.col(inside) / F.col("uses") / F.lit(base)) if base else F.lit(None).cast("double")
     role = F.when(F.col("first") >= 3 * F.col("second") + 1, 1).when(F.col("second") >= 3 * F.col("first") + 1, 2).otherwise(0)
-    return counted.select("term", "uses", "inside", F.when(F.col("inside") > 0, bits).alias("disclosure"), role.alias("role"))
+    phones = F.col("inside") >= F.col("first")
+    inside = F.when(number, F.greatest("inside", "first")).otherwise(F.col("inside"))
+    disclosure = F.when(number, F.when(phones, bits("inside", share(True, "inside"))).otherwise(bits("first", share(True, "first")))).otherwise(bits("inside", share(False, "inside")))
+    role = F.when(number, F.when(phones, 1).otherwise(2)).otherwise(role)
+    return counted.select("term", "uses", inside.alias("inside"), F.when(inside > 0, disclosure).alias("disclosure"), role.alias("role"))
 
 
 def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
@@ -349,11 +429,14 @@ def _count_rows(counts: dict[str, list[int]]) -> pa.RecordBatch:
 def name_terms(counted: DataFrame, min_bits: float = MIN_BITS, min_share: float = MIN_SHARE, min_uses: int = MIN_USES) -> DataFrame:
     """(term, role) of the terms that disclose a person; role 3 for terms used inside an entity too
     seldom to be name terms by themselves, which only lengthen a name that begins with one or an initial.
+    Of the words before numbers those come that disclose a phone (role 1) or an identity number (role 2).
     """
+    number = F.startswith("term", F.lit(_NUMBER))
     share = F.col("inside") / F.col("uses")
     discloses = (F.col("disclosure") >= min_bits) | (share >= SURE_SHARE)  # the latter where most terms of a corpus are names
     sure = discloses & (share >= min_share) & (F.col("inside") >= min_uses)
-    return counted.where(discloses).select("term", F.when(sure, F.col("role")).otherwise(POSSIBLE).alias("role"))
+    signs = counted.where(number & (F.col("uses") >= NUMBER_USES) & (share >= NUMBER_SHARE) & ((F.col("disclosure") >= NUMBER_BITS) | (share >= 2 * NUMBER_SHARE))).select("term", "role")
+    return counted.where(~number & discloses).select("term", F.when(sure, F.col("role")).otherwise(POSSIBLE).alias("role")).unionByName(signs)
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", clean: bool = False, broadcast_terms: int = BROADCAST_TERMS, **rule) -> DataFrame:
@@ -364,8 +447,6 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     stays null; a repeated row comes out again; other columns aren't read. The name terms are broadcast
     where they are few, else each document gets its own terms by a join on the term.
     """
-    from lectern.session import cut_lineage
-
     terms = cut_lineage(name_terms(disclosures(documents, text_col), **rule))
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -376,7 +457,9 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     else:
         row = source.withColumn("row", F.monotonically_increasing_id())
         row = cut_lineage(row)  # row numbers must not change between the two uses
-        own = row.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_CAPITAL_JVM), F.lit(0)), F.lower))).alias("term"))
+        words = F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), F.lit(0))
+        before = F.transform(words, lambda w: F.concat(F.lit(_NUMBER), F.lower(w)))
+        own = row.select("row", F.explode(F.array_distinct(F.concat(F.transform(F.regexp_extract_all("text", F.lit(_CAPITAL_JVM), F.lit(0)), F.lower), before))).alias("term"))
         own = own.join(terms, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "role"))).alias("terms"))
         source = row.join(own, "row", "left").select("id", "text", "terms")
 

@@ -152,6 +152,22 @@ def test_names_come_from_the_corpus(spark):
     assert pii.found(rows.where("false")).count() == 0
 
 
+def test_numbers_of_any_form_behind_words_that_disclose_them(spark):
+    known = [f"My mobile +33 6 39 98 83 {i:02} is new." for i in range(6)] + [f"The passport XX98748{i:02} was lost." for i in range(6)] + [f"It took {i}12 345 678 steps and mass {i}1234567." for i in range(8)]
+    asked = ["Her mobile 06-12345678, please", "mobile: 010-1234-5678.", "mobile (02) 12.34.56.78 or", "his passport YB 1234 5678 9 is", "it took 912 345 678 steps", "mobile 1234567890123456789", "mobile 12-05", "of mass 21234567 g", "mobile\n06-12345678"]
+    rows = spark.createDataFrame(list(enumerate(asked + known)), "doc_id long, text string")
+    for most in (1000, 0):  # with the words broadcast, and joined
+        out = {(r.doc_id, r.kind, asked[r.doc_id][r.start_pos : r.end_pos]) for r in pii.found(rows, broadcast_terms=most).collect() if r.doc_id < len(asked)}
+        assert out == {(0, "phone", "06-12345678"), (1, "phone", "010-1234-5678"), (2, "phone", "(02) 12.34.56.78"), (3, "identity_number", "YB 1234 5678 9")}
+
+
+def test_long_pieces_are_whole():
+    long = "x" * 300 + ".y" * 40 + "@mail.example"
+    assert [long[s:e] for s, e, _ in pii.find(long, {})] == [long]
+    text = "ask for" + " " * 60 + "Olvira."
+    assert [text[s:e] for s, e, _ in pii.find(text, LEXICON)] == ["Olvira"]
+
+
 def test_positions_count_code_points():
     text = "👩‍🔬 é mail a@b.example"
     (start, end, _), = pii.find(text, {})
