@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.running import running_sum
+from lectern.session import cut_lineage
 
 #: A word is a longest run of characters other than these.
 _BLANKS = " \t\r\n\f\u00a0"
@@ -180,29 +181,51 @@ def oversized_items(parents: DataFrame, chunks: DataFrame, documents: DataFrame,
     return second.select("item_id.item_table", "item_id.item_id").distinct()
 
 
+def piece_counts(items: DataFrame) -> DataFrame:
+    """(item_id, pieces): into how many pieces ``split_oversized`` cuts each of the items, which have one row an item."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0))
+    within = F.coalesce(words <= F.when(F.col("max_words") >= 1, F.col("max_words")), F.lit(True))
+    id_type = items.schema["item_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counts = [len(split_text(text, int(limit), ratio)) for _, text, limit, ratio in frame.itertuples(index=False)]
+            yield pd.DataFrame({"item_id": frame["item_id"], "pieces": counts})
+
+    large = items.where(~within).select("item_id", "text", "max_words", F.coalesce("overlap_ratio", F.lit(0.0)).alias("overlap_ratio"))
+    return items.where(within).select("item_id", F.lit(1).alias("pieces")).unionByName(large.mapInPandas(run, f"item_id {id_type}, pieces int"))
+
+
 def split_all(parents: DataFrame, chunks: DataFrame, documents: DataFrame, limits: DataFrame) -> DataFrame:
     """Every piece of both tables: (item_table, item_id, document_id, piece_no, chunk_index, page,
     token_count, text); chunk_index counts a document's pieces of one table from 0.
 
-    Pieces follow the items' page and chunk_index (null last), then the id. Repeated rows come once.
+    Pieces follow the items' page and chunk_index (null last), then the id. Repeated rows come once, the
+    smallest by place, pages, document and text. Texts are shuffled once, by their id: limits, the numbers of
+    pieces and the running numbers, all narrow, come to them.
     """
-    wide = 4096
-    parts = []
-    for items, column, place in (
-        (parent_items(parents), "parent_tokens", parents.select(F.col("parent_id").alias("id"), "document_id", F.col("page_start").alias("place"))),
-        (chunk_items(chunks), "child_tokens", chunks.select(F.col("chunk_id").alias("id"), "document_id", F.col("chunk_index").alias("place"))),
+    wide, last = 4096, F.lit(2**31 - 1)
+    texts, counts = [], []
+    for name, items, column in (
+        ("chunk_parents", parents.select(F.col("parent_id").alias("item_id"), "document_id", F.col("page_start").alias("place"), "page_start", "page_end", "text"), "parent_tokens"),
+        ("chunks", chunks.select(F.col("chunk_id").alias("item_id"), "document_id", F.col("chunk_index").alias("place"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), "text"), "child_tokens"),
     ):
-        pieces = split_oversized(with_limits(items, documents, limits, column)).dropDuplicates(["item_id", "piece_no"])
-        at = place.groupBy("id").agg(F.min("document_id").alias("document_id"), F.min("place").alias("place"))
-        pieces = pieces.select("item_id.item_table", "item_id.item_id", "piece_no", "text", "token_count", "page")
-        parts.append(pieces.join(at, pieces["item_id"].eqNullSafe(at["id"])).drop("id"))
-    rows = reduce(DataFrame.unionByName, parts)
-    last = F.lit(2**31 - 1)
-    order = [F.coalesce("place", last), "item_id", "piece_no"]
-    # the text stays out of the windows and comes back by the piece's key
-    numbered = running_sum(rows.drop("text"), ["item_table", "document_id"], F.coalesce("place", last) / wide, order, F.lit(1), "chunk_index")
-    texts = rows.select("item_table", "item_id", "piece_no", "text")
-    same = [numbered[c].eqNullSafe(texts[c]) for c in ("item_table", "item_id", "piece_no")]
-    return numbered.join(texts, same).select(
-        numbered["item_table"], numbered["item_id"], "document_id", numbered["piece_no"], F.col("chunk_index").cast("int").alias("chunk_index"), "page", "token_count", "text"
-    )
+        once = items.groupBy("item_id").agg(F.min(F.struct("place", "page_start", "page_end", "document_id", "text")).alias("row")).select("item_id", "row.*")
+        narrow = items.groupBy("item_id").agg(F.min(F.struct("place", "page_start", "page_end", "document_id")).alias("row")).select("item_id", "row.*", F.lit(None).cast("string").alias("text"))
+        rules = with_limits(narrow, documents, limits, column).select(F.col("item_id").alias("rule_id"), "max_words", "overlap_ratio")
+        limited = once.join(rules, F.col("item_id").eqNullSafe(F.col("rule_id"))).drop("rule_id")
+        texts.append(limited.withColumn("item_table", F.lit(name)))
+        counted = piece_counts(limited)
+        named = narrow.select(F.lit(name).alias("item_table"), F.col("item_id").alias("narrow_id"), "document_id", "place")
+        counts.append(named.join(counted, F.col("narrow_id").eqNullSafe(F.col("item_id"))).drop("narrow_id"))
+    rows = cut_lineage(counts[0].unionByName(counts[1]))
+    numbered = running_sum(rows, ["item_table", "document_id"], F.coalesce("place", last) / wide, [F.coalesce("place", last), "item_id"], F.col("pieces"), "first")
+    numbered = cut_lineage(numbered.select("item_table", F.col("item_id").alias("number_id"), "first"))
+    parts = []
+    for name, limited in zip(("chunk_parents", "chunks"), texts):
+        own = numbered.where(F.col("item_table") == name).select("number_id", "first")
+        joined = limited.join(own, F.col("item_id").eqNullSafe(F.col("number_id")))
+        key = F.struct("item_table", "item_id", "document_id", "first").alias("item_id")
+        pieces = split_oversized(joined.select(key, "text", "max_words", "overlap_ratio", "page_start", "page_end"))
+        parts.append(pieces.select("item_id.item_table", "item_id.item_id", "item_id.document_id", "piece_no", (F.col("item_id.first") + F.col("piece_no")).cast("int").alias("chunk_index"), "page", "token_count", "text"))
+    return reduce(DataFrame.unionByName, parts)
