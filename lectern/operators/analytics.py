@@ -156,9 +156,10 @@ def top_topics(questions: DataFrame, most: int = 10) -> DataFrame:
 
 
 def year_unit_matrix(questions: DataFrame, units: list[str]) -> DataFrame:
-    """(year, one column per unit): counts of the rows with a year."""
+    """(year, one column per unit, other): counts of the rows with a year; other has those of other units and of none."""
     rows = questions.withColumn("year", year_of(F.col("paper_label"))).where(F.col("year").isNotNull())
-    return rows.groupBy("year").pivot("unit", units).agg(F.count(F.lit(1))).fillna(0, units)
+    named = rows.withColumn("unit", F.when(F.col("unit").isin(units), F.col("unit")).otherwise("other"))
+    return named.groupBy("year").pivot("unit", [*units, "other"]).agg(F.count(F.lit(1))).fillna(0, [*units, "other"])
 
 
 # Units that are none.

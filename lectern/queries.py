@@ -129,7 +129,7 @@ def top_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {_Q} SELECT CAST(regexp_extract(paper_label,'(20[0-9]{{2}})',1) AS INTEGER) AS year, count(*) FILTER (unit='I') AS "I", count(*) FILTER (unit='II') AS "II", count(*) FILTER (unit='III') AS "III",
-    count(*) FILTER (unit='IV') AS "IV", count(*) FILTER (unit='V') AS "V" FROM q WHERE regexp_extract(paper_label,'(20[0-9]{{2}})',1) <> '' GROUP BY 1""")
+    count(*) FILTER (unit='IV') AS "IV", count(*) FILTER (unit='V') AS "V", count(*) FILTER (unit IS NULL OR unit NOT IN ('I','II','III','IV','V')) AS other FROM q WHERE regexp_extract(paper_label,'(20[0-9]{{2}})',1) <> '' GROUP BY 1""")
 def year_unit_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return analytics.year_unit_matrix(views.questions(spark, folder), ["I", "II", "III", "IV", "V"])
 
@@ -209,13 +209,23 @@ def structure_tree(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.nested(views.customers_tree(spark, folder)[0])
 
 
-@query("""WITH chosen AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 5 = 0),
-    reached AS (SELECT 'c'||c_custkey AS node_id FROM customer JOIN chosen ON c_nationkey = n_nationkey UNION SELECT 'n'||n_nationkey FROM chosen UNION SELECT 'r'||n_regionkey FROM chosen)
-    SELECT DISTINCT 'd'||o_orderkey AS document_id FROM orders JOIN reached ON node_id = 'c'||o_custkey""")
+@query("""WITH cu AS (SELECT 'r'||min(r_regionkey) AS r FROM region), cn AS (SELECT n_regionkey, max(n_nationkey) AS n FROM nation GROUP BY 1), cc AS (SELECT c_nationkey, min(c_custkey) AS c FROM customer GROUP BY 1),
+    t AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    reached AS (SELECT 'c'||c_custkey AS node_id FROM t WHERE 'r'||n_regionkey IN (SELECT r FROM cu) UNION SELECT 'n'||n_nationkey FROM nation WHERE 'r'||n_regionkey IN (SELECT r FROM cu) UNION SELECT r FROM cu
+      UNION SELECT 'c'||c_custkey FROM t WHERE c_nationkey IN (SELECT n FROM cn) UNION SELECT 'n'||n FROM cn UNION SELECT 'r'||n_regionkey FROM cn
+      UNION SELECT 'c'||c FROM cc UNION SELECT 'n'||c_nationkey FROM cc UNION SELECT 'r'||n_regionkey FROM cc JOIN nation ON n_nationkey = c_nationkey),
+    links AS (SELECT 'c'||o_custkey AS node_id, 'd'||o_orderkey AS document_id FROM orders UNION ALL SELECT 'n'||s_nationkey, 's'||s_suppkey FROM supplier UNION ALL SELECT 'r'||r_regionkey, 'r'||r_regionkey FROM region)
+    SELECT DISTINCT document_id FROM links JOIN reached USING (node_id)""")
 def scope_expand(spark: SparkSession, folder: str) -> DataFrame:
+    """Chosen are the first unit, the last part of each unit and the first subtopic of each part; nodes of all three levels have documents."""
     nodes, _ = views.customers_tree(spark, folder)
-    chosen = table(spark, folder, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node_id"))
-    links = table(spark, folder, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("node_id"), F.concat(F.lit("d"), F.col("o_orderkey")).alias("document_id"))
+    named = lambda sign, c: F.concat(F.lit(sign), c).alias("node_id")
+    region, nation, customer, orders, supplier = (table(spark, folder, t) for t in ("region", "nation", "customer", "orders", "supplier"))
+    chosen = region.agg(F.min("r_regionkey").alias("k")).select(named("r", F.col("k")))
+    chosen = chosen.union(nation.groupBy("n_regionkey").agg(F.max("n_nationkey").alias("k")).select(named("n", F.col("k"))))
+    chosen = chosen.union(customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("k")).select(named("c", F.col("k"))))
+    link = lambda df, sign, key, of, doc: df.select(named(sign, F.col(key)), F.concat(F.lit(of), F.col(doc)).alias("document_id"))
+    links = link(orders, "c", "o_custkey", "d", "o_orderkey").union(link(supplier, "n", "s_nationkey", "s", "s_suppkey")).union(link(region, "r", "r_regionkey", "r", "r_regionkey"))
     return scope.expand(chosen, nodes, links)
 
 
