@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import PHRASE_STOPWORDS
-from lectern.operators import concepts, labels
+from lectern.operators import answering, concepts, labels
 from lectern.plans import views
 from lectern.queries import _Q, query
 
@@ -74,3 +74,24 @@ def derived_concept_links(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def derivation_stats(spark: SparkSession, folder: str) -> DataFrame:
     return concepts.derivation_stats(*_derived(spark, folder))
+
+
+@query(f"""WITH {_Q}, s AS (SELECT course_id AS scope, section_title AS label, list_sort(list_distinct(list(unit) FILTER (unit IS NOT NULL))) AS units FROM q WHERE trim(section_title, ' ') <> '' GROUP BY ALL),
+    w AS (SELECT scope, label, regexp_replace(trim(label, ' '), '\\s+', ' ', 'g') AS l, coalesce(list_filter(units, lambda u: lower(u) <> lower(label)), []) AS us FROM s)
+    SELECT scope, label, 'Explain ' || l || CASE WHEN len(us) > 0 THEN ' (also: ' || array_to_string(list_slice(us, 1, 4), ', ') || ')' ELSE '' END || '. Use course notes and syllabus.' AS question FROM w""")
+def concept_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """What is asked for each section of a course, its units as further terms."""
+    rows = views.questions(spark, folder).where("trim(section_title) <> ''").groupBy("scope", F.col("section_title").alias("label")).agg(F.array_sort(F.collect_set("unit")).alias("units"))
+    return rows.select("scope", "label", answering.concept_question(F.col("label"), F.col("units"), F.array().cast("array<string>")).alias("question"))
+
+
+@query(f"""WITH {_Q}, t AS (SELECT course_id AS scope, section_title AS title, min(page) AS ordinal FROM q WHERE section_title IS NOT NULL GROUP BY ALL), u AS (SELECT course_id AS scope, section_title AS title, unit, row_number() OVER (PARTITION BY course_id ORDER BY unit, section_title) - 1 AS unit_no FROM (SELECT DISTINCT course_id, unit, section_title FROM q WHERE unit IS NOT NULL AND section_title IS NOT NULL)),
+    z AS (SELECT a.scope, n = m AS placed FROM (SELECT scope, count(*) AS n FROM t GROUP BY 1) a JOIN (SELECT scope, count(*) AS m FROM u GROUP BY 1) b USING (scope)), p AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ordinal NULLS FIRST, title) - 1 AS place FROM t)
+    SELECT scope, md5(p.title) AS topic_id, CAST(min(unit_no) AS INTEGER) AS unit_no FROM p JOIN z USING (scope) JOIN u USING (scope) WHERE CASE WHEN placed THEN place = unit_no ELSE contains(lower(p.title), lower(u.title)) OR contains(lower(u.title), lower(p.title)) END GROUP BY scope, p.title""")
+def topic_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections of a course as topics, by page, matched to its sections in the order of their units."""
+    questions = views.questions(spark, folder).where("section_title IS NOT NULL")
+    topics = questions.groupBy("scope", F.col("section_title").alias("title")).agg(F.min("page").alias("ordinal")).withColumn("topic_id", F.md5("title"))
+    listed = questions.where("unit IS NOT NULL").select("scope", "unit", F.col("section_title").alias("title")).distinct()
+    units = listed.withColumn("unit_no", F.row_number().over(Window.partitionBy("scope").orderBy("unit", "title")) - 1).drop("unit")
+    return answering.match_topics(topics, units)
