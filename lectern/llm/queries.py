@@ -80,6 +80,21 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_mix_all(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix as large as all documents, at which the caps of small sources bind; p7_shares_all reports what each reaches."""
+    sized = _sized(spark, folder)
+    return mixing.mix(sized, table(spark, folder, "mix_targets"), total=_all_tokens(sized))
+
+
+def _all_tokens(sized: DataFrame) -> int:
+    return int(sized.agg(F.sum("tokens")).first()[0] or 0)
+
+
+def p7_shares_all(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
+    return mixing.shares(sized, targets, mixing.mix(sized, targets, total=_all_tokens(sized)))
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     sized, targets = _sized(spark, folder), table(spark, folder, "mix_targets")
     return mixing.shares(sized, targets, mixing.mix(sized, targets))
@@ -94,7 +109,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_pages, p3_chunks, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_neighbours, p3_found, p3_pages, p3_chunks, p4_found, p4_pieces, p5_found, p5_groups, p6_ids, p7_mix, p7_shares, p7_mix_all, p7_shares_all, p8_found, p8_clean)}
 
 
 _LETTERS = r"lower(regexp_replace(line, '\P{L}+', '', 'g'))"

@@ -167,6 +167,29 @@ def test_mix_meets_weights_and_caps(spark):
     assert shares["none"].note == "no usable documents" and shares["zero"].note == "weight 0" and len(shares) == 5
 
 
+def test_a_long_mix_repeats_its_schedule(spark):
+    rows = [(i, "abc"[i % 3], 7) for i in range(9000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 1)], T)
+    out = mixing.mix(sized(spark, rows), targets, slots=40, block=70).orderBy("position").collect()
+    assert len(out) == 6000 and [r.position for r in out] == list(range(6000))
+    used = dict.fromkeys("abc", 0)
+    for n, r in enumerate(out, 1):
+        used[r.source] += 1
+        if n % 10 == 0:  # a block has ten documents
+            assert all(abs(used[s] - n * w) <= 10 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert mixing.period({"a": 5, "b": 3}, 10) == {"a": 5, "b": 3}
+    assert mixing.period({"a": 10**9, "b": 10**9 - 1, "c": 1}, 100) == {"a": 50, "b": 49, "c": 1}
+
+
+def test_a_given_size_at_which_caps_bind_is_reported_short(spark):
+    rows = [(i, "a" if i < 10 else "b", 10) for i in range(400)]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], T)
+    frame = sized(spark, rows)
+    shares = {r.source: r for r in mixing.shares(frame, targets, mixing.mix(frame, targets, total=1000)).collect()}
+    assert shares["a"].mixed_tokens == 200 and shares["a"].most_repeats == 2 and shares["b"].mixed_tokens == 800
+    assert (shares["a"].reachable_share, shares["a"].actual_share) == (0.5, 0.2)
+
+
 def test_mix_of_a_given_size_shares_out_what_is_missing():
     supply = [dict(source="a", target_weight=0.5, tokens=100, max_repeats=1), dict(source="b", target_weight=0.3, tokens=1000, max_repeats=1), dict(source="c", target_weight=0.2, tokens=1000, max_repeats=1)]
     assert mixing.quotas(supply, 600) == (600, {"a": 100, "b": 300, "c": 200})
