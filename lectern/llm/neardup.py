@@ -229,13 +229,13 @@ _BITS = [f"bits_{k}" for k in range(-(-REGISTERS // 32))]
 
 
 def shared_keys(sketched: DataFrame) -> DataFrame:
-    """(key, class, bits_0, ...) of the keys that more than one sketch has.
+    """(key, class, bits_0, ...) of the keys that more than one class has.
 
-    Keys are counted by an aggregate, so a hot key is one row a task before it is shuffled; only the rows of
+    The smallest and largest class of a key come by an aggregate, so a hot key is one row a task before it is shuffled; only the rows of
     the keys that are left meet them, by a broadcast where they were counted to be few.
     """
     full = sketched.where(F.col("keys").isNotNull())
-    often = cut_lineage(full.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    often = cut_lineage(full.select("class", F.explode("keys").alias("key")).groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"))
     banded = full.select("class", *(F.col("bits")[k].alias(b) for k, b in enumerate(_BITS)), F.explode("keys").alias("key"))
     return banded.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key")
 
