@@ -39,7 +39,7 @@ CELL, MOST_COARSE, MOST_FINE = 512, 8_192, 1_024
 BLOCK = 8_192
 #: Sampled vectors whose exact neighbours are searched for to choose the margin, and the share of these
 #: neighbours that must have a copy where they are asked for. The margin (of squared distance) is MARGIN at least.
-ASKED, COVER, MARGIN = 256, 0.985, 0.16
+ASKED, COVER, MARGIN = 128, 0.985, 0.16
 #: Coarse centroids whose residual cells are looked at for copies.
 NEAR_COARSE = 16
 #: Seconds that a comparison of two codes and the making of one copy take, about; only their ratio matters.
@@ -133,6 +133,9 @@ class OneBitCodes:
         agreement = np.abs(turned).sum(axis=1) / np.sqrt(self.dimensions)
         self.agreement = np.where(agreement > 0, agreement, 1.0)
         self.error = EPSILON * np.sqrt(np.maximum(0, 1 - self.agreement**2)) / self.agreement / np.sqrt(max(1, self.dimensions - 1))
+        # single precision is enough for bounds that are widened by more than its rounding
+        self.towards, self.length, self.agreement, self.error = (x.astype(np.float32) for x in (self.towards, self.length, self.agreement, self.error))
+        self.middle = np.float32(self.centre @ self.centre)
 
     def bounds(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lower, upper) of the cosines of the vectors ``rows``, as queries, with all members."""
@@ -153,12 +156,12 @@ class OneBitCodes:
             inner += np.float32(1 << bit) * count
         # <code, query> with code = (2 bit - 1) / sqrt(d) and query = low + step * level
         total = levels.sum(axis=1, dtype=np.float32)[:, None]
-        product = (2 * (step * inner + low * self.ones[None, :]) - (step * total + low * d)) / np.sqrt(d)
+        product = (2 * (step * inner + low * self.ones[None, :]) - (step * total + low * d)) * np.float32(1 / np.sqrt(d))
         scale = self.length[rows][:, None] * self.length[self.members][None, :]
-        base = self.towards[rows][:, None] + self.towards[self.members][None, :] - self.centre @ self.centre
+        base = self.towards[rows][:, None] + self.towards[self.members][None, :] - self.middle
         estimate = product / self.agreement[None, :] * scale + base
         # the query's own rounding adds an error of up to half a step per dimension, small beside the bound
-        slack = (self.error[None, :] + EPSILON * step / np.sqrt(12) / self.agreement[None, :]) * scale + 1e-6
+        slack = (self.error[None, :] + np.float32(EPSILON / np.sqrt(12)) * step / self.agreement[None, :]) * scale + np.float32(1e-5)
         return estimate - slack, estimate + slack
 
 

@@ -183,7 +183,8 @@ _COUNTED = ("phone", "identity_number")
 
 def number_counts(text: str, counts: dict[str, list[int]]) -> None:
     """Adds to '# ' + word -> [numbers behind it, of these phones, identity numbers, 0]."""
-    taken = [t for t in shaped(text) if t[2] in _COUNTED]
+    taken: list[tuple[int, int, str]] = []
+    _shaped_numbers(text, taken)
     places = [(word, 0) for word, _, _ in number_places(text, taken)]
     for start, _, kind in taken:
         before = _WORD_BEFORE.search(text, max(0, start - 40), start)
@@ -201,6 +202,16 @@ def number_spans(text: str, signs: dict[str, int], taken: list[tuple[int, int, s
     return [(start, end, _COUNTED[signs[_NUMBER + word] - 1]) for word, start, end in number_places(text, taken) if _NUMBER + word in signs]
 
 
+def _shaped_numbers(text: str, taken: list[tuple[int, int, str]]) -> None:
+    """Adds the identity and phone numbers of known shapes that don't overlap what's taken."""
+    for m in _LETTER_NUMBER.finditer(text):
+        _near(_IDENTITY, text, *m.span(), "identity_number", taken)
+    for m in _DIGITS.finditer(text):
+        if sum(map(str.isdigit, m.group())) >= 7 and _free(*m.span(), taken):
+            _near(_IDENTITY, text, *m.span(), "identity_number", taken)
+            _near(_PHONE, text, *m.span(), "phone", taken)
+
+
 def shaped(text: str) -> list[tuple[int, int, str]]:
     """E-mail addresses, street addresses, identity and phone numbers, sorted."""
     taken: list[tuple[int, int, str]] = []
@@ -224,12 +235,7 @@ def shaped(text: str) -> list[tuple[int, int, str]]:
                 _near(_ADDRESS, text, start, end, "street_address", taken)
                 if len(taken) > before:
                     done = taken[-1][1]
-    for m in _LETTER_NUMBER.finditer(text):
-        _near(_IDENTITY, text, *m.span(), "identity_number", taken)
-    for m in _DIGITS.finditer(text):
-        if sum(map(str.isdigit, m.group())) >= 7 and _free(*m.span(), taken):
-            _near(_IDENTITY, text, *m.span(), "identity_number", taken)
-            _near(_PHONE, text, *m.span(), "phone", taken)
+    _shaped_numbers(text, taken)
     return sorted(taken)
 
 
