@@ -68,3 +68,31 @@ def hint_lists(units: DataFrame, ranges: DataFrame) -> DataFrame:
     listed = units.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit_id"))), lambda x: x["unit_id"]).alias("units"))
     paged = ranges.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("page_start", "page_end"))).alias("ranges"))
     return listed.join(paged, "query_id", "full_outer")
+
+
+def section_patterns(outline: DataFrame) -> DataFrame:
+    """(scope, unit_id, section_title, phrase): what tells a section in a text: its title and the longer words of it, and
+    the phrases and terms of its unit; four characters at least."""
+    own = F.concat(F.array(F.trim(F.lower("section_title")), F.trim(F.lower("unit_title"))), F.coalesce(_tokens(F.col("section_title"), LEAST_TERM), F.array().cast("array<string>")))
+    sections = outline.select("scope", "unit_id", "section_title").distinct()
+    rows = outline.select("scope", "unit_id", "section_title", F.explode(own).alias("phrase"))
+    shared = unit_phrases(outline).unionByName(unit_terms(outline).withColumnRenamed("term", "phrase"))
+    rows = rows.unionByName(sections.join(shared, ["scope", "unit_id"]))
+    return rows.where(F.length("phrase") >= LEAST_PHRASE).distinct()
+
+
+def page_counts(pages: DataFrame, outline: DataFrame, readable: int = 100, fallback: str = "Unclassified") -> DataFrame:
+    """(scope, unit_id, section_title, n): the readable pages of each section, each page (scope, file, page, text) once.
+
+    A page counts for the section whose phrases in it are longest together, the first by unit and title of
+    equals; one without any for the fallback section of the scope's first unit, "general" without an outline.
+    """
+    once = pages.where(F.length(F.trim("text")) >= readable).groupBy("scope", "file", "page").agg(F.min("text").alias("text"))
+    hay = once.select("scope", "file", "page", F.lower("text").alias("text"))
+    met = hay.join(section_patterns(outline), "scope").where(F.contains("text", F.col("phrase")))
+    scored = met.groupBy("scope", "file", "page", "unit_id", "section_title").agg(F.sum(F.length("phrase")).alias("score"))
+    best = scored.groupBy("scope", "file", "page").agg(F.min(F.struct((-F.col("score")).alias("worse"), "unit_id", "section_title")).alias("best"))
+    first = outline.groupBy("scope").agg(F.min("unit_id").alias("first"))
+    rows = hay.drop("text").join(best, ["scope", "file", "page"], "left").join(first, "scope", "left")
+    unit = F.coalesce("best.unit_id", "first", F.lit("general")).alias("unit_id")
+    return rows.groupBy("scope", unit, F.coalesce("best.section_title", F.lit(fallback)).alias("section_title")).agg(F.count(F.lit(1)).alias("n"))

@@ -124,6 +124,23 @@ def hint_pages(spark: SparkSession, folder: str) -> DataFrame:
     return hints.page_ranges(_questions(spark, folder), hints.page_hints(_outline(spark, folder)))
 
 
+_PATTERNS = """pt AS (SELECT DISTINCT * FROM (SELECT scope, unit_id, section_title, trim(lower(section_title)) AS phrase FROM ol UNION ALL SELECT scope, unit_id, section_title, trim(lower(unit_title)) FROM ol
+    UNION ALL SELECT scope, unit_id, section_title, unnest(list_filter(string_split_regex(lower(section_title), '[^a-z0-9]+'), lambda t: length(t) >= 5)) FROM ol
+    UNION ALL SELECT o.scope, o.unit_id, o.section_title, p.phrase FROM ol o JOIN (SELECT * FROM ph UNION SELECT scope, unit_id, term FROM tm) p ON p.scope = o.scope AND p.unit_id = o.unit_id) WHERE length(phrase) >= 4)"""
+
+
+@query(f"""WITH {_OUTLINE}, {_PATTERNS}, dk AS (SELECT document_id, course_id AS scope, filename FROM documents WHERE doc_kind = 'past_paper' AND status = 'ready' AND course_id IS NOT NULL),
+    pc AS (SELECT scope, filename, page, min(text) AS text FROM chunks c JOIN dk USING (document_id) WHERE length(trim(text, ' ')) >= 100 GROUP BY ALL),
+    hs AS (SELECT pc.scope, filename, page, unit_id, section_title, sum(length(phrase)) AS score FROM pc JOIN pt ON pt.scope = pc.scope WHERE contains(lower(text), phrase) GROUP BY ALL),
+    hb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, filename, page ORDER BY score DESC, unit_id, section_title) AS rn FROM hs) WHERE rn = 1), fu AS (SELECT scope, min(unit_id) AS first FROM ol GROUP BY 1)
+    SELECT pc.scope, coalesce(unit_id, first, 'general') AS unit_id, coalesce(section_title, 'Unclassified') AS section_title, count(*) AS n FROM pc LEFT JOIN hb ON hb.scope = pc.scope AND hb.filename IS NOT DISTINCT FROM pc.filename AND hb.page IS NOT DISTINCT FROM pc.page LEFT JOIN fu ON fu.scope = pc.scope GROUP BY ALL""")
+def past_paper_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The readable pages of past papers by the section that they ask for."""
+    docs = scope.lane(table(spark, folder, "documents"), scope.EXAM).where("course_id IS NOT NULL").select("document_id", F.col("course_id").alias("scope"), F.col("filename").alias("file"))
+    pages = table(spark, folder, "chunks").select("document_id", "page", "text").join(docs, "document_id")
+    return hints.page_counts(pages, _outline(spark, folder))
+
+
 def _reranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     questions, chunks, vectors = _study(spark, folder)
     hits = retrieval.with_parents(retrieval.hybrid(questions, chunks, vectors), chunks, table(spark, folder, "chunk_parents"))

@@ -70,6 +70,13 @@ def test_outline_hints(spark):
     assert both == {"q": (["1"], [(3, 5)])}
 
 
+def test_pages_of_sections(spark):
+    outline = spark.createDataFrame([("c", "1", "Sets", "Hash maps", 1, 2), ("c", "2", "Trees", "Balanced search trees", 3, 4)], OUTLINE)
+    filler = " and so on" * 12
+    pages = spark.createDataFrame([("c", "f", 1, "hash maps" + filler), ("c", "f", 1, "hash maps" + filler), ("c", "f", 2, "hash maps or balanced search trees" + filler), ("c", "f", 3, "none" + filler), ("c", "f", 4, "trees"), ("d", "g", 1, "trees" + filler)], "scope string, file string, page int, text string")
+    assert {tuple(r) for r in hints.page_counts(pages, outline).collect()} == {("c", "1", "Hash maps", 1), ("c", "2", "Balanced search trees", 1), ("c", "1", "Unclassified", 1), ("d", "general", "Unclassified", 1)}
+
+
 def test_hybrid_stays_in_its_course(spark):
     docs = spark.createDataFrame([("d1", "c", "a.pdf", "notes", "ready"), ("d2", "e", "b.pdf", "notes", "ready"), ("d3", "c", "c.pdf", "notes", "failed"), ("d4", "c", "p.pdf", "past_paper", "ready"), ("d5", None, "x", "notes", "ready")], "document_id string, course_id string, filename string, doc_kind string, status string")
     rows = [("k1", "d1", "p1", 0, 3, "a stack holds what a queue holds", {"unit": "1", "section_title": "Stacks"}), ("k2", "d1", None, 1, 4, "nothing of the kind", None), ("k3", "d2", None, 0, 1, "stack queue", None), ("k4", "d3", None, 0, 1, "stack queue", None), ("k5", "d4", None, 0, 1, "stack queue", None), ("k6", "d5", None, 0, 1, "stack queue", None), ("k1", "d1", "p1", 0, 3, "a stack holds what a queue holds", {"unit": "1"})]
