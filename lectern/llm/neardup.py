@@ -257,12 +257,15 @@ def bits_differ() -> Column:
 
 def may_be_similar(threshold: float) -> Column:
     """Whether the estimate of two sketches, a and b, may reach the threshold."""
-    agree = F.lit(REGISTERS)
-    for k in range(REGISTERS // 4):
-        x = F.col("a")[k].bitwiseXOR(F.col("b")[k])
+    def differ(x: Column, y: Column) -> Column:
+        z = x.bitwiseXOR(y)
         for shift in (8, 4, 2, 1):  # the lowest bit of each lane becomes the OR of the lane
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        agree = agree - F.bit_count(x.bitwiseAND(F.lit(_LANES)))
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        return F.bit_count(z.bitwiseAND(F.lit(_LANES)))
+
+    # a fold over the arrays: spelled out, the lanes make more code than the JVM compiles
+    held = lambda c: F.slice(c, 1, REGISTERS // 4)
+    agree = REGISTERS - F.aggregate(F.zip_with(held("a"), held("b"), differ), F.lit(0), lambda total, x: total + x)
     least = F.array(*(F.array(*map(F.lit, row)) for row in least_agreeing(threshold)))
     rank = lambda n: F.least(F.lit(_SIZES - 1), F.round(F.log2(n)).cast("int"))
     return agree >= least[rank(F.col("a")[REGISTERS // 4])][rank(F.col("b")[REGISTERS // 4])]
