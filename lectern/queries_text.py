@@ -57,7 +57,8 @@ def outline_json(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def question_parse(spark: SparkSession, folder: str) -> DataFrame:
     papers = table(spark, folder, "documents").where("doc_kind = 'past_paper'").select("document_id")
-    return exam_parse.parse_questions(views.pages(spark, folder).join(papers, "document_id", "left_semi"))
+    # pages of no known format are read as well: most of these tables' papers number their questions without a sign
+    return exam_parse.parse_questions(views.pages(spark, folder).join(papers, "document_id", "left_semi"), skip=False)
 
 
 _E = exam_parse
