@@ -6,22 +6,24 @@ pass after pass; a running sum of tokens (in buckets, see ``running_sum``) gives
 those within the source's quota are taken. The order of the whole mix follows Pfair scheduling: a
 source's k-th block of tokens is released at floor(k / rate) and due at ceil((k + 1) / rate), and the
 earliest deadline among the released blocks goes next, so that at every block boundary each source is
-less than one block from its target. Blocks have a fixed size; a mix of more than SLOTS blocks repeats a
-schedule of SLOTS of them, in which each source has its share of the slots, rounded to whole ones.
+less than one block from its target. Blocks have a fixed size and a mix of any size has one schedule of
+all its blocks: one task writes it slot by slot, holding one block of each source, and it's joined.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.operators.running import running_sum
 
-#: Blocks of the schedule that's broadcast; a longer mix repeats it. Shares of its slots are exact to one slot.
+#: Slots of the schedule that are held at a time while it's written; the result doesn't depend on it.
 SLOTS = 20_000
 #: Tokens of a block; a block ought to hold a document.
 BLOCK_TOKENS = 2048
@@ -29,36 +31,40 @@ BLOCK_TOKENS = 2048
 _SORTED = 4096
 
 
-def pfair_order(blocks: dict[str, int]) -> list[tuple[str, int]]:
-    """(source, k) in the order of the schedule, for so many blocks of each source.
+def pfair_slots(blocks: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, k) slot by slot, for so many blocks of each source.
 
     With rate n / total, block k of a source lives in [floor(k / rate), ceil((k + 1) / rate)); ties of
     deadlines go to the source with more blocks, then to the smaller name. The rates add up to 1, for
     which earliest deadline first keeps every source within one block of its ideal share.
     """
     total = sum(blocks.values())
-    window = lambda s, k: (Fraction(k * total, blocks[s]).__floor__(), Fraction((k + 1) * total, blocks[s]).__ceil__())
+    due = lambda s, k: -(-(k + 1) * total // blocks[s])
     waiting = [(0, s, 0) for s in sorted(blocks) if blocks[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, int, str, int]] = []
-    out: list[tuple[str, int]] = []
     for slot in range(total):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(s, k)[1], -blocks[s], s, k))
+            heapq.heappush(ready, (due(s, k), -blocks[s], s, k))
         if not ready:  # never with rates that add up to 1; kept so that no block can be lost
-            release, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (window(s, k)[1], -blocks[s], s, k))
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due(s, k), -blocks[s], s, k))
         _, _, s, k = heapq.heappop(ready)
-        out.append((s, k))
+        yield s, k
         if k + 1 < blocks[s]:
-            heapq.heappush(waiting, (window(s, k + 1)[0], s, k + 1))
-    return out
+            heapq.heappush(waiting, ((k + 1) * total // blocks[s], s, k + 1))
+
+
+def pfair_order(blocks: dict[str, int]) -> list[tuple[str, int]]:
+    """All of ``pfair_slots``."""
+    return list(pfair_slots(blocks))
 
 
 def period(blocks: dict[str, int], slots: int) -> dict[str, int]:
-    """Slots of each source in one period: all its blocks where they fit into ``slots``, else its share of them by
-    largest remainders, one at least."""
+    """Slots of each source among ``slots``: all its blocks where they fit, else its share of them by largest
+    remainders, one at least. An outline of a mix for readers: ``mix`` doesn't use it, as a repeated period drifts
+    from the targets by what was rounded, further with each round."""
     total = sum(blocks.values())
     if total <= slots:
         return dict(blocks)
@@ -108,6 +114,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: i
     ``sized`` has (doc_id, source, tokens). Documents without tokens, of null or unlisted sources, or of
     sources of weight 0 (or null), aren't used; max_repeats of null or below 1 allows no use.
     ``position`` counts from 0 without gaps. A source overshoots its quota by less than half a document.
+    ``slots`` bounds the rows of the schedule in a batch, not the mix.
     ``targets`` is a list of sources made by hand; one row of it and of the totals goes to the driver.
     """
     spark = sized.sparkSession
@@ -120,9 +127,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: i
     rows = [(s, q, held[s], min(cap[s], -(-q // held[s]))) for s, q in sorted(asked.items())]
     plan = F.broadcast(spark.createDataFrame(rows, schema))
 
-    each_period = period({s: -(-q // block) for s, q in asked.items()}, slots)
-    length = sum(each_period.values())
-    order = _slot_table(spark, pfair_order(each_period))
+    order = _schedule(spark, {s: -(-q // block) for s, q in asked.items()}, slots)
 
     used = sized.where(F.col("source").isNotNull() & (F.col("tokens") > 0)).select("doc_id", "source", "tokens")
     used = used.withColumn("hashed", F.xxhash64(F.lit(seed), "source", "doc_id"))
@@ -130,18 +135,24 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None, slots: i
     placed = running_sum(used.join(plan, "source"), ["source"], F.shiftright("hashed", 52), ["hashed", "doc_id"], F.col("tokens"), "before")
     each = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("repeat")).withColumn("start", F.col("before") + F.col("repeat") * F.col("held"))
     taken = each.where(F.col("start") + F.col("tokens") / 2 < F.col("quota"))
-    slot = taken.withColumn("block", F.least(F.floor(F.col("start") / block), F.floor((F.col("quota") - 1) / block)).cast("long"))
-    counts = F.broadcast(spark.createDataFrame(sorted(each_period.items()), "source string, n long"))
-    residues = slot.join(counts, "source").withColumns({"residue": F.pmod("block", "n"), "round": F.floor(F.col("block") / F.col("n"))})
-    slotted = residues.join(F.broadcast(order), ["source", "residue"]).withColumn("slot", F.col("round") * length + F.col("place"))
+    blocks = taken.withColumn("block", F.least(F.floor(F.col("start") / block), F.floor((F.col("quota") - 1) / block)).cast("long"))
+    slotted = blocks.join(order.hint("merge"), ["source", "block"])  # Spark takes the schedule for a table of one row
     ranked = running_sum(slotted, [], F.floor(F.col("slot") / _SORTED), ["slot", "start", "doc_id", "repeat"], F.lit(1), "position")
     return ranked.select("position", "source", "doc_id", "repeat", "tokens")
 
 
-def _slot_table(spark: SparkSession, order: list[tuple[str, int]]) -> DataFrame:
-    """(source, residue, place): where the k-th block of a source stands in a period."""
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("residue", T.LongType()), T.StructField("place", T.LongType())])
-    return spark.createDataFrame([(s, k, i) for i, (s, k) in enumerate(order)], schema)
+def _schedule(spark: SparkSession, blocks: dict[str, int], slots: int) -> DataFrame:
+    """(source, block, slot): where the k-th block of a source stands. Made by one task, as each slot depends on those before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            first, order = 0, pfair_slots(blocks)
+            while part := list(islice(order, slots)):
+                sources, numbers = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(sources), pa.array(numbers, pa.int64()), pa.array(range(first, first + len(part)), pa.int64())], names=["source", "block", "slot"])
+                first += len(part)
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "source string, block long, slot long")
 
 
 def shares(sized: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -181,6 +181,19 @@ def test_a_long_mix_repeats_its_schedule(spark):
     assert mixing.period({"a": 10**9, "b": 10**9 - 1, "c": 1}, 100) == {"a": 50, "b": 49, "c": 1}
 
 
+def test_the_order_does_not_depend_on_the_slots(spark):
+    rows = [(i, "abc"[i % 3], 7) for i in range(3000)]
+    weights = {"a": 0.46, "b": 0.317, "c": 0.223}
+    targets = spark.createDataFrame([(s, w, 1) for s, w in weights.items()], T)
+    mixes = [mixing.mix(sized(spark, rows), targets, slots=n, block=7).orderBy("position").collect() for n in (40, 20_000)]
+    assert mixes[0] == mixes[1]
+    held = {s: sum(r.source == s for r in mixes[0]) for s in weights}  # a block has one document
+    used = dict.fromkeys(weights, 0)
+    for n, r in enumerate(mixes[0], 1):
+        used[r.source] += 1
+        assert all(abs(used[s] - n * held[s] / len(mixes[0])) < 1 for s in weights)
+
+
 def test_a_given_size_at_which_caps_bind_is_reported_short(spark):
     rows = [(i, "a" if i < 10 else "b", 10) for i in range(400)]
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], T)
