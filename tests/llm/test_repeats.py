@@ -29,6 +29,24 @@ def test_repeated_lines_rule(spark):
     assert boilerplate.repeated_lines(c, d.where("false"))[0].count() == 0
 
 
+def test_clusters_and_dates_are_made_only_for_a_rule_that_reads_them(spark):
+    c, d = frames(spark, [(f"d{i}", "s") for i in range(4)], [(f"c{i}", f"d{i}", f"one of the notices\nwords of text {letters(i)}") for i in range(4)])
+    plans = []
+    for rule in ({}, {"min_clusters": 2}, {"min_dates": 1}):
+        lines, counts = boilerplate.repeated_lines(c, d, **rule)
+        assert ("n_clusters" in counts.columns) == ("min_clusters" in rule)
+        assert {(r.chunk_id, r.line_no) for r in lines.collect()} == {(f"c{i}", 0) for i in range(4)}
+        plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+    assert ["bit_xor" in p for p in plans] == [False, True, False]
+    assert ["published" in p for p in plans] == [False, False, True]
+
+
+def test_a_document_of_two_dates_counts_once(spark):
+    c, d = frames(spark, [("d0", "s"), ("d1", "s")], [(f"c{i}", f"d{i}", "one of the notices") for i in range(2)])
+    later = d.where("document_id = 'd1'").withColumn("created_at", F.lit("2022-01-01").cast("timestamp_ntz"))
+    assert boilerplate.repeated_lines(c, d.unionByName(later))[0].count() == 0
+
+
 def test_copies_of_one_document_are_kept(spark):
     documents = [(f"d{i}", "s") for i in range(5)]
     chunks = [(f"c{i}", f"d{i}", "the very same sentence\nof a copied document") for i in range(5)]
